@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framepack.llm import bpe, licenses, packing, pii, quality, secrets, spans, tokencount
+from framepack.llm import bpe, embeddings, licenses, packing, pii, quality, secrets, simhash, spans, substrings, tokencount
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_documents(spark, sf_dir), vocabulary(), 50256).select("doc_id", "n_tokens")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeats(_documents(spark, sf_dir))
+    return found.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("first_id").alias("first_doc_id"), F.col("first_start").alias("first_start_word"), F.col("first_end").alias("first_end_word"), "similarity")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", F.concat_ws("/", "source", "lang").alias("repo"), F.col("source").alias("owner"))
     found = secrets.scan(docs)
@@ -60,15 +70,23 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), vocabulary())
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_licenses": op1_licenses,
         "op2_bpe": op2_bpe,
         "op3_pii": op3_pii,
         "op4_token_counts": op4_token_counts,
+        "op5_embeddings": op5_embeddings,
+        "op6_substrings": op6_substrings,
         "op7_secrets": op7_secrets,
         "op8_quality": op8_quality,
         "op9_packing": op9_packing,
+        "op10_simhash": op10_simhash,
     }
 
 

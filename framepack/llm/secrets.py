@@ -55,24 +55,51 @@ def ownership(found: DataFrame, spans_col: str, repo_col: str, owner_col: str) -
     return pairs.groupBy("secret").agg(F.sum("n").alias("n_rows"), distinct("repo").alias("n_repos"), distinct("owner").alias("n_owners"))
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "repo", owner_col: str = "owner") -> DataFrame:
-    """(id, spans, base_spans, live_spans, n_live, n_example) of every row: base_spans are the base kinds' matches, spans adds live-looking
-    candidates of the others, live_spans are all that look live. Other columns are ignored."""
+def _row(df: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
+    """(id, found, key) and what owns the row; the key names the list of candidates, null if there are none."""
     row = df.select(F.col(id_col).alias("id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), candidates(text_col).alias("found"))
-    row = materialise(row.withColumn("key", F.when(F.size("found") > 0, F.sha2(F.to_json("found"), 256))), "candidates")
-    held = ownership(row.where("key is not null"), "found", "repo", "owner").select("secret", ((F.col("n_owners") <= MOST_OWNERS) & (F.col("n_repos") <= MOST_REPOS)).alias("live"))
-    # Equal candidate lists get equal verdicts, so each distinct list is joined once and the rows find it by its key.
+    return materialise(row.withColumn("key", _key("found")), "candidates")
+
+
+def _key(found: str) -> Column:
+    return F.when(F.size(found) > 0, F.sha2(F.to_json(found), 256))
+
+
+def _judged(row: DataFrame) -> DataFrame:
+    """(key, live, n_example): of each distinct list of candidates those that look live, and the number of the others. Rows with equal lists
+    share the verdict, so a list is judged once, however many copies there are."""
+    held = ownership(row.where("key is not null"), "found", "repo", "owner").select("secret", ((F.col("n_owners") <= MOST_OWNERS) & (F.col("n_repos") <= MOST_REPOS)).alias("is_live"))
     lists = row.where("key is not null").groupBy("key").agg(F.first("found").alias("found"))
     each = lists.select("key", F.explode("found").alias("s")).withColumn("secret", F.sha2(secret_value(F.col("s.value"), F.col("s.kind")), 256))
-    judged = each.join(held, "secret").groupBy("key").agg(F.collect_list(F.when(F.col("live"), F.col("s"))).alias("live"), F.count(F.when(~F.col("live"), 1)).alias("n_example"))
-    out = row.join(judged, "key", "left")
-    live = F.coalesce(F.col("live"), spans.none())
+    judged = each.join(held, "secret").groupBy("key").agg(F.collect_list(F.when(F.col("is_live"), F.col("s"))).alias("live"), F.count(F.when(~F.col("is_live"), 1)).alias("n_example"))
+    return materialise(judged, "judged")
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "repo", owner_col: str = "owner") -> DataFrame:
+    """(id, spans, base_spans, live_spans, n_live, n_example) of every row: base_spans are the base kinds' matches, spans adds live-looking
+    candidates of the others, live_spans are all that look live. Other columns are ignored."""
+    row = _row(df, id_col, text_col, repo_col, owner_col)
+    some = row.where("key is not null").join(_judged(row), "key").select("id", "found", "live", "n_example")
+    none = row.where("key is null").select("id", "found", spans.none().alias("live"), F.lit(0).cast("long").alias("n_example"))
     base = F.filter("found", lambda s: s["kind"] < N_BASE)
-    return out.select(
+    return some.union(none).select(
         F.col("id").alias(id_col),
-        F.array_sort(F.concat(base, F.filter(live, lambda s: s["kind"] >= N_BASE))).alias("spans"),
+        F.array_sort(F.concat(base, F.filter("live", lambda s: s["kind"] >= N_BASE))).alias("spans"),
         base.alias("base_spans"),
-        F.array_sort(live).alias("live_spans"),
-        F.size(live).cast("long").alias("n_live"),
-        F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
+        F.array_sort("live").alias("live_spans"),
+        F.size("live").cast("long").alias("n_live"),
+        "n_example",
     )
+
+
+def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "repo", owner_col: str = "owner", mask: str = "<SECRET>") -> DataFrame:
+    """df with every live-looking candidate in the text replaced by the mask; examples, all rows and other columns stay."""
+    judged = _judged(_row(df, id_col, text_col, repo_col, owner_col)).where(F.size("live") > 0).select(F.col("key").alias("__key"), F.col("live").alias("__live"))
+    keyed = df.withColumn("__found", _key_of(text_col))
+    some = keyed.where("__found is not null").join(judged, F.col("__found") == F.col("__key"), "left")
+    text = F.when(F.col("__live").isNull(), F.col(text_col)).otherwise(spans.masked(F.col(text_col), F.col("__live"), [mask] * len(KINDS)))
+    return some.withColumn(text_col, text).select(*df.columns).union(keyed.where("__found is null").select(*df.columns))
+
+
+def _key_of(text_col: str) -> Column:
+    return bind(candidates(text_col), _key)

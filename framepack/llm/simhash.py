@@ -46,16 +46,16 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint as a signed long. Other columns are ignored."""
+    """(id, fp, text_hash) of every row; fp is the fingerprint as a signed long. Other columns are ignored."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 fp = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), part.column(2)], ["id", "fp", "text_hash"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).mapInArrow(run, f"id {kind}, fp long, text_hash long").withColumnRenamed("id", id_col)
 
 
 def _variants(fps: DataFrame) -> DataFrame:
@@ -149,5 +149,15 @@ def cluster(prints: DataFrame, id_col: str = "doc_id", bits: int = BITS, block:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = BITS) -> DataFrame:
-    """(id, fp, class_fp, component_id) of every row."""
+    """(id, fp, text_hash, class_fp, component_id) of every row."""
     return cluster(materialise(fingerprints(df, id_col, text_col, shingle), "prints"), id_col, bits)
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = BITS) -> DataFrame:
+    """One row of each component of df: that of the least id, nulls last; of repeated rows one stays. Columns stay as they are."""
+    found = materialise(near_duplicates(df, id_col, text_col, shingle, bits).select(F.col(id_col).alias("id"), "text_hash", "class_fp"), "near")
+    kept = found.groupBy("class_fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("k"))
+    kept = materialise(kept.select(F.col("k.id").alias("__id"), F.col("k.text_hash").alias("__h")), "kept")
+    out = df.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h")), "left_semi")
+    again = found.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return out if again.isEmpty() else out.dropDuplicates([id_col, text_col])
