@@ -393,7 +393,7 @@ class Parser:
                 continue
             self.take(":")
             kind = None
-            if self.now.type == "WORD" and self.ahead().value == ":" and self.ahead().type == "MARK":
+            if self.now.type in ("WORD", "NULL") and self.ahead().value == ":" and self.ahead().type == "MARK":
                 kind = self.take().value
                 self.take(":")
             self.got(":")

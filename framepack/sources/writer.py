@@ -178,7 +178,7 @@ def _type_name(v: Any) -> str:
 
 
 def _uniform(v: Any) -> bool:
-    return isinstance(v, list) and bool(v) and all(isinstance(x, dict) for x in v) and len({frozenset(x) for x in v}) == 1 and all(not isinstance(y, (dict, list)) or isinstance(y, list) and not any(isinstance(z, (dict, list)) for z in y) for x in v for y in x.values())
+    return isinstance(v, list) and bool(v) and all(isinstance(x, dict) and x for x in v) and len({frozenset(x) for x in v}) == 1 and all(not isinstance(y, (dict, list)) or isinstance(y, list) and not any(isinstance(z, (dict, list)) for z in y) for x in v for y in x.values())
 
 
 def _column_type(values: list) -> str:
