@@ -36,7 +36,7 @@ LONG = 256
 SHORT = 48
 NEVER = 1 << 60
 #: Distinct pieces that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -56,6 +56,40 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pick: np.n
     return flat[np.repeat(starts[pick] - (ends - n), n) + np.arange(total)]
 
 
+class _Table:
+    """A map from int64 to int64 for whole arrays: open addressing, at most a quarter full, so few slots are tried."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int):
+        self.bits = max(4, int(np.ceil(np.log2(4 * max(1, len(keys))))))
+        self.mask, self.missing = (1 << self.bits) - 1, missing
+        self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, missing, dtype=np.int64)
+        slot = self._slot(keys)
+        while len(keys):
+            free = self.keys[slot] == -1
+            _, one = np.unique(slot[free], return_index=True)
+            put = np.flatnonzero(free)[one]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[put] = False
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.values[slot], self.missing)
+        more = np.flatnonzero((found != keys) & (found != -1))
+        while len(more):
+            slot[more] = (slot[more] + 1) & self.mask
+            found = self.keys[slot[more]]
+            hit = found == keys[more]
+            out[more[hit]] = self.values[slot[more[hit]]]
+            more = more[~hit & (found != -1)]
+        return out
+
+
 class Codec:
     """Encoder and decoder for one vocabulary file."""
 
@@ -83,7 +117,9 @@ class Codec:
         self.order = np.full(size, -1, dtype=np.int64)
         for rank, i in self.merge.values():
             self.order[i] = rank
-        self._pair_table()
+        ranks = np.array([v[0] for v in self.merge.values()], dtype=np.int64)
+        self.pairs = _Table(np.array([l << 32 | r for l, r in self.merge], dtype=np.int64), ranks, NEVER)
+        self.rank_id = np.array([v[1] for v in self.merge.values()], dtype=np.int32)
         self.byte_id = [vocab[{b: c for c, b in letters.items()}[i]] for i in range(256)]
         self._trie({i for i in vocab.values()})
         lengths = np.array([len(t) for t in self.token_bytes], dtype=np.int64)
@@ -94,40 +130,9 @@ class Codec:
         self.digit_flat, self.digit_at = np.frombuffer(b"".join(digits), dtype=np.uint8), np.cumsum(self.digit_len) - self.digit_len
         self._forget()
 
-    def _pair_table(self) -> None:
-        """An open-addressing table of the pairs that merge, with their ranks; at most a quarter full, so few slots are tried."""
-        keys = np.array([l << 32 | r for l, r in self.merge], dtype=np.int64)
-        ranks = np.array([v[0] for v in self.merge.values()], dtype=np.int64)
-        self.rank_id = np.array([v[1] for v in self.merge.values()], dtype=np.int32)
-        self.bits = max(4, int(np.ceil(np.log2(4 * max(1, len(keys))))))
-        self.slot_key, self.slot_rank = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, NEVER, dtype=np.int64)
-        slot = self._slot(keys)
-        while len(keys):
-            free = self.slot_key[slot] == -1
-            _, one = np.unique(slot[free], return_index=True)
-            put = np.flatnonzero(free)[one]
-            self.slot_key[slot[put]], self.slot_rank[slot[put]] = keys[put], ranks[put]
-            rest = np.ones(len(keys), dtype=bool)
-            rest[put] = False
-            keys, ranks, slot = keys[rest], ranks[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of merging a and b; NEVER if they do not merge."""
-        key = a.astype(np.int64) << 32 | b
-        slot = self._slot(key)
-        found = self.slot_key[slot]
-        out = np.where(found == key, self.slot_rank[slot], NEVER)
-        more = np.flatnonzero((found != key) & (found != -1))
-        while len(more):
-            slot[more] = (slot[more] + 1) & ((1 << self.bits) - 1)
-            found = self.slot_key[slot[more]]
-            hit = found == key[more]
-            out[more[hit]] = self.slot_rank[slot[more[hit]]]
-            more = more[~hit & (found != -1)]
-        return out
+        return self.pairs.get(a.astype(np.int64) << 32 | b)
 
     def _trie(self, ids: set[int]) -> None:
         node: dict[bytes, int] = {b"": 0}
@@ -135,10 +140,8 @@ class Codec:
             t = self.token_bytes[i]
             for k in range(1, len(t) + 1):
                 node.setdefault(t[:k], len(node))
-        self.step = np.zeros((len(node), 256), dtype=np.int32)  # 0, the root, is nobody's child and means: no way on
-        for t, n in node.items():
-            if t:
-                self.step[node[t[:-1]], t[-1]] = n
+        # Steps from node to node by a byte, in an open-addressing table like that of the pairs.
+        self.step = _Table(np.array([node[t[:-1]] << 8 | t[-1] for t in node if t], dtype=np.int64), np.array([n for t, n in node.items() if t], dtype=np.int64), 0)
         self.node_token = np.full(len(node), -1, dtype=np.int32)
         for i in ids:
             self.node_token[node[self.token_bytes[i]]] = i
@@ -211,10 +214,10 @@ class Codec:
         cur = end - lengths
         who = np.flatnonzero(lengths)
         cur, stop = cur[who], end[who]
-        node, best, best_at = np.zeros(len(who), np.int32), np.zeros(len(who), np.int32), cur.copy()
+        node, best, best_at = np.zeros(len(who), np.int64), np.zeros(len(who), np.int32), cur.copy()
         out_id, out_word = [], []
         while len(who):
-            nxt = self.step[node, flat[cur]]
+            nxt = self.step.get(node.astype(np.int64) << 8 | flat[cur])  # 0, the root, is nobody's child and means: no way on
             nxt[cur >= stop] = 0
             on = nxt > 0
             node = nxt
@@ -379,7 +382,7 @@ def codec(path: str, specials: bool = True) -> Codec:
     return Codec(path, specials)
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with bounded text: at most `most` bytes, or one row."""
     col = batch.column(batch.schema.get_field_index(text))
     sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)

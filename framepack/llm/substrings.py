@@ -25,7 +25,7 @@ from framepack.llm.bpe import slices
 from framepack.llm.common import materialise
 
 #: Words in a shingle and in a passage, least similarity, hash functions on their own, and how many of them must overlap.
-SHINGLE, PASSAGE, SIMILAR, FUNCTIONS, OVERLAP = 5, 50, 0.8, 3, 2
+SHINGLE, PASSAGE, SIMILAR, FUNCTIONS, OVERLAP = 5, 50, 0.8, 4, 2
 #: Unmatched shingles that may lie between matched ones of a passage: two edited words.
 GAP = 2 * SHINGLE
 
