@@ -274,3 +274,12 @@ def varint_advice(df: DataFrame, name: str) -> DataFrame:
 def literal_kind(text: Column) -> Column:
     """What a bare literal stands for: quoted, bool, null, number or str."""
     return F.when(text.rlike('^".*"$'), "quoted").when(text.isin("true", "false"), "bool").when(text == "null", "null").when(text.rlike("^-?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?$"), "number").otherwise("str")
+
+
+DIRECTIVE = "^@(\\w+):(\\w+)\\s+(.+)$"
+
+
+def parsed_directive(line: Column) -> Column:
+    """struct(type, field, data) of a directive line of a known codec; null if it is none."""
+    kind = F.regexp_extract(line, DIRECTIVE, 1)
+    return F.when(line.rlike(DIRECTIVE) & kind.isin("dict", "idx", "rle", "delta", "bits"), F.struct(kind.alias("type"), F.regexp_extract(line, DIRECTIVE, 2).alias("field"), F.regexp_extract(line, DIRECTIVE, 3).alias("data")))

@@ -177,6 +177,26 @@ def xml_report_nation(spark, sf_dir):
     return found.select("n_regionkey", xml.report(found).startswith("XML analysis\nlayout: xml-").alias("ok"))
 
 
+@query("SELECT n_regionkey, xml_tokens, round(xml_tokens * (1 - r / 100.0))::BIGINT AS document_tokens, r AS reduction FROM (SELECT n_regionkey, (2 * (2 + 4 * count(*)) + 2 * (2 + count(*)) + 2 + count(*) + sum(len(list_filter(regexp_split_to_array(n_name, ' '), lambda x: x <> ''))))::BIGINT AS xml_tokens, CASE WHEN count(*) >= 2 AND 1 + 2 * count(*) > 10 THEN 65 WHEN 1 + 2 * count(*) < 10 THEN 40 ELSE 45 END AS r FROM nation GROUP BY 1)")
+def xml_token_reduction_nation(spark, sf_dir):
+    return xml.token_reduction(_xml(spark, sf_dir), "n_regionkey", "xml")
+
+
+@query("SELECT n_nationkey, 'rle' AS type, 'c' AS field, n_name || '*2' AS data, true AS none FROM nation")
+def directives_nation(spark, sf_dir):
+    from framepack.operators.codecs import parsed_directive
+
+    line = parsed_directive(F.concat(F.lit("@rle:c "), "n_name", F.lit("*2")))
+    return _table(spark, sf_dir, "nation").select("n_nationkey", line["type"].alias("type"), line["field"].alias("field"), line["data"].alias("data"), parsed_directive(F.lit("@other:c x")).isNull().alias("none"))
+
+
+@query("SELECT page_id, html FROM pages")
+def json_scan_pages(spark, sf_dir):
+    path = tempfile.mkdtemp(prefix="framepack-")
+    _table(spark, sf_dir, "pages").select("page_id", "html").write.mode("overwrite").json(path)
+    return spark.read.schema("page_id long, html string").json(path)
+
+
 def _streamed(spark, sf_dir, columns: list[str]) -> DataFrame:
     df = _table(spark, sf_dir, "events").select(*columns)
     path = tempfile.mkdtemp(prefix="framepack-")

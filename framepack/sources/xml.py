@@ -322,6 +322,15 @@ def analysis(tree: DataFrame, id_col: str) -> DataFrame:
     return out.select(id_col, "element_count", "max_depth", "has_mixed_content", "has_cdata", "has_namespaces", "has_attributes", "has_uniform_children", "avg_children", "names", F.col("chosen.mode").alias("mode"), F.col("chosen.reduction").alias("reduction"))
 
 
+def token_reduction(df: DataFrame, id_col: str, xml_col: str) -> DataFrame:
+    """(id, xml_tokens, document_tokens, reduction): estimated tokens of each XML text and of its document in the recommended layout."""
+    from framepack.functions.text import xml_tokens
+
+    found = analysis(nodes(df, id_col, xml_col), id_col).select(id_col, "reduction")
+    counted = df.select(id_col, xml_tokens(F.col(xml_col)).alias("xml_tokens")).join(found, id_col)
+    return counted.select(id_col, "xml_tokens", F.round(F.col("xml_tokens") * (1 - F.col("reduction") / 100)).cast("long").alias("document_tokens"), "reduction")
+
+
 def report(found: DataFrame) -> Column:
     """A text report of an analysis' row."""
     line = lambda label, c: F.concat(F.lit(f"{label}: "), found[c].cast("string"))
