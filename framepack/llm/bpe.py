@@ -10,6 +10,7 @@ Special tokens in a text are recognised as in the vocabulary file unless `specia
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -121,6 +122,7 @@ class Codec:
         self.pairs = _Table(np.array([l << 32 | r for l, r in self.merge], dtype=np.int64), ranks, NEVER)
         self.rank_id = np.array([v[1] for v in self.merge.values()], dtype=np.int32)
         self.byte_id = [vocab[{b: c for c, b in letters.items()}[i]] for i in range(256)]
+        self.byte_ids = np.array(self.byte_id, dtype=np.int32)
         self._trie({i for i in vocab.values()})
         lengths = np.array([len(t) for t in self.token_bytes], dtype=np.int64)
         self.text_flat, self.text_len = np.frombuffer(b"".join(self.token_bytes), dtype=np.uint8), lengths
@@ -170,24 +172,25 @@ class Codec:
                 heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
         return [i for i in ids if i >= 0]
 
-    def merged_many(self, words: Sequence[bytes]) -> list[np.ndarray]:
-        """merged() of many short words at once: each round merges the least pair of every word that still has one."""
-        n, width = len(words), max(map(len, words)) + 1
-        lengths = np.array([len(w) for w in words])
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(n, width)
-        ids = np.array(self.byte_id, dtype=np.int32)[raw]
-        inside = np.arange(width) < lengths[:, None]
+    def merged_many(self, flat: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """merged() of many short words of a flat array at once: each round merges the least pair of every word that still has one. Ids of
+        all words one after another, and the number of ids of each."""
+        n, width = len(start), int(lengths.max()) + 1
+        column = np.arange(width)
+        inside = column < lengths[:, None]
+        ids = self.byte_ids[flat[np.where(inside, start[:, None] + column, 0)]]
         rank = np.full((n, width), NEVER, dtype=np.int64)
         pairs = inside[:, :-1] & inside[:, 1:]
         rank[:, :-1][pairs] = self.rank_of(ids[:, :-1][pairs], ids[:, 1:][pairs])
-        after = np.tile(np.arange(1, width + 1), (n, 1))
-        before = np.tile(np.arange(-1, width - 1), (n, 1))
+        after = np.tile(np.arange(1, width + 1, dtype=np.int16), (n, 1))
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int16), (n, 1))
         live = np.arange(n)
         while len(live):
             i = rank[live].argmin(axis=1)
             best = rank[live, i]
             some = best < NEVER
-            live, i, best = live[some], i[some], best[some]
+            if not some.all():
+                live, i, best = live[some], i[some], best[some]
             j = after[live, i]
             k = after[live, j]
             new = self.rank_id[best]
@@ -202,16 +205,16 @@ class Codec:
             on = h >= 0
             w, x, y = live[on], h[on], i[on]
             rank[w, x] = self.rank_of(ids[w, x], new[on])
-        return np.split(ids[inside], np.cumsum(inside.sum(axis=1))[:-1])
+        return ids[inside], inside.sum(axis=1)
 
     # -- speculation and verification --------------------------------------------------------------------------------------------
 
-    def proposed(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Greedy longest matches of all words in step: ids, and each id's word."""
-        lengths = np.array([len(w) for w in words], dtype=np.int64)
-        flat = np.frombuffer(b"".join(words) + b"\0", dtype=np.uint8)
+    def proposed(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of all words in step: ids, and each id's word. The words follow one another in flat, which has a byte
+        more; words over LONG bytes are left out."""
         end = np.cumsum(lengths)
         cur = end - lengths
+        lengths = np.where(lengths > LONG, 0, lengths)
         who = np.flatnonzero(lengths)
         cur, stop = cur[who], end[who]
         node, best, best_at = np.zeros(len(who), np.int64), np.zeros(len(who), np.int32), cur.copy()
@@ -261,26 +264,31 @@ class Codec:
 
     def encode_words(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and the number of ids of each."""
-        long = {i: self.merged(w) for i, w in enumerate(words) if len(w) > LONG}
-        ids, word = self.proposed([b"" if i in long else w for i, w in enumerate(words)] if long else words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.frombuffer(b"".join(words) + b"\0", dtype=np.uint8)
+        start = np.cumsum(lengths) - lengths
+        ids, word = self.proposed(flat, lengths)
+        redo = lengths > LONG
         if len(ids) > 1:
             inner = np.flatnonzero(word[1:] == word[:-1])
             key, back = np.unique(ids[inner].astype(np.int64) << 32 | ids[inner + 1], return_inverse=True)
             fits = self.compatible(key >> 32, key & 0xFFFFFFFF)[back]
-            failing = np.unique(word[inner[~fits]])
-            size = np.array([len(words[i]) for i in failing])
-            for least, most in ((0, 8), (8, 12), (12, 18), (18, SHORT)):
-                if len(some := failing[(size > least) & (size <= most)]):
-                    long |= zip(some.tolist(), self.merged_many([words[i] for i in some]))
-            long |= {int(i): self.merged(words[i]) for i in failing[size > SHORT]}
-        if not long:
+            redo[word[inner[~fits]]] = True
+        if not redo.any():
             return ids, np.bincount(word, minlength=len(words))
-        redo = np.zeros(len(words), dtype=bool)
-        redo[list(long)] = True
         keep = ~redo[word]
-        extra_word = np.repeat(np.fromiter(long, np.int64, len(long)), [len(x) for x in long.values()])
-        extra = np.concatenate([np.asarray(x, dtype=np.int32) for x in long.values()])
-        ids, word = np.concatenate([ids[keep], extra]), np.concatenate([word[keep], extra_word])
+        all_ids, all_words = [ids[keep]], [word[keep]]
+        for least, most in ((0, 8), (8, 12), (12, 18), (18, SHORT)):
+            some = np.flatnonzero(redo & (lengths > least) & (lengths <= most))
+            if len(some):
+                found, n = self.merged_many(flat, start[some], lengths[some])
+                all_ids.append(found)
+                all_words.append(np.repeat(some, n))
+        for i in np.flatnonzero(redo & (lengths > SHORT)).tolist():
+            found = self.merged(words[i])
+            all_ids.append(np.array(found, dtype=np.int32))
+            all_words.append(np.full(len(found), i))
+        ids, word = np.concatenate(all_ids), np.concatenate(all_words)
         order = np.argsort(word, kind="stable")
         return ids[order], np.bincount(word, minlength=len(words))
 
@@ -311,6 +319,9 @@ class Codec:
         for i, piece in enumerate(self.pending):
             if piece.isalpha() or piece[:1] == " " and piece[1:].isalpha():
                 found = (piece,)
+            elif piece[-1] in ".,;:!?" and (piece[:-1].isalpha() or piece[:1] == " " and piece[1:-1].isalpha()):
+                found = (piece[:-1], piece[-1])
+                counts[i] = 2
             else:
                 found = PRETOKEN.findall(piece)
                 counts[i] = len(found)
@@ -378,7 +389,9 @@ class _Pieces(dict):
 
 @lru_cache(maxsize=2)
 def codec(path: str, specials: bool = True) -> Codec:
-    """One codec for each worker and vocabulary file."""
+    """One codec for each worker and vocabulary file. What it holds lives as long as the worker, so the garbage collector leaves it out."""
+    gc.collect()
+    gc.freeze()
     return Codec(path, specials)
 
 
