@@ -90,18 +90,19 @@ def disclosures(each: DataFrame, texts: DataFrame, n_texts: int) -> DataFrame:
     return joined.where(F.col("n_entity") < n).select("entity", "value", ratio.alias("ratio")).where(F.col("ratio") >= RATIO)
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sanitise: bool = False) -> DataFrame:
-    """(id, spans, base_spans) of every row, and the sanitised text if asked for: entities replaced by their kind, disclosing terms by TERM.
-    Other columns are ignored."""
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, spans, base_spans) of every row; sanitised() applies them to a text. Other columns are ignored."""
     row = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), entities(text_col).alias("found"))
-    row = row.select("*", F.when(F.size("found") > 0, F.sha2(F.col("text"), 256)).alias("key"), F.xxhash64("text").alias("h"))
+    row = row.select("*", F.when(F.size("found") > 0, F.sha2(F.col("text"), 256)).alias("key"))
     small = materialise(row.select("id", "found", "key", F.when(F.col("key").isNotNull(), nearby(F.col("text"), F.col("found"))).alias("near")), "entities")
     lists = small.where("key is not null").groupBy("key").agg(F.first("near").alias("near"))
     each = materialise(lists.select("key", F.inline("near")), "near")
     texts = df.select(F.col(text_col).alias("text")).where("text is not null")
     told = disclosures(each, texts, texts.count())
     extra = each.join(told, ["entity", "value"]).groupBy("key").agg(F.array_distinct(F.collect_list(F.struct("start", "kind", "end", "value"))).alias("terms"))
-    out = small.select("id", "found", "key").join(extra, "key", "left")
+    # Rows without entities have no key and nothing to join; together they would be one group.
+    some = small.where("key is not null").select("id", "found", "key").join(extra, "key", "left").select("id", "found", "terms")
+    out = some.unionByName(small.where("key is null").select("id", "found", spans.none().alias("terms")))
     every = F.array_sort(F.concat("found", F.coalesce("terms", spans.none())))
     return out.select(F.col("id").alias(id_col), every.alias("spans"), F.col("found").alias("base_spans"))
 
