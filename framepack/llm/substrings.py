@@ -173,7 +173,10 @@ def overlapping(f: np.ndarray, l: np.ndarray, r: np.ndarray) -> bool:
 
 
 def passages(x: np.ndarray, y: np.ndarray, passage: int = PASSAGE, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
-    """(start, end, start in y, end in y, similarity) in words of the passages of x, shingle hashes, that repeat in y; Jaccard similarity."""
+    """(start, end, start in y, end in y, similarity) in words of the passages of x, shingle hashes, that repeat in y; Jaccard similarity.
+
+    A stretch of shingles that y has is compared with where they first stand in y, and if that fails with all places where they stand: the
+    runs that are the same word for word, and each diagonal's stretches on their own."""
     width = passage - SHINGLE + 1
     if len(x) < width or len(y) < width:
         return []
@@ -186,37 +189,111 @@ def passages(x: np.ndarray, y: np.ndarray, passage: int = PASSAGE, similar: floa
     if not len(found):
         return []
 
-    def checked(a: int, b: int) -> tuple | None:
-        if b - a + 1 < width:
-            return None
-        own = np.flatnonzero(hit[a : b + 1]) + a
-        shift = where[own] - own
-        near = own[np.abs(shift - np.median(shift)) <= max(GAP, (b - a + 1) // 8)]
-        if not len(near):
-            return None
-        lo, hi = int(where[near].min()), int(where[near].max())
+    def checked(a: int, b: int, lo: int, hi: int) -> tuple | None:
         u, v = np.unique(x[a : b + 1]), np.unique(y[lo : hi + 1])
         both = len(np.intersect1d(u, v, assume_unique=True))
         j = both / (len(u) + len(v) - both)
         return (a, b + SHINGLE, lo, hi + SHINGLE, j) if j >= similar else None
 
     out = []
-    breaks = np.flatnonzero(np.diff(found) > GAP + 1)
-    for a, b in zip(found[np.concatenate([[0], breaks + 1])].tolist(), found[np.concatenate([breaks, [len(found) - 1]])].tolist()):
-        if b - a + 1 < width:
-            continue
-        if got := checked(a, b):
+    for a, b in _stretches(found, width):
+        own = np.flatnonzero(hit[a : b + 1]) + a
+        shift = where[own] - own
+        near = own[np.abs(shift - np.median(shift)) <= max(GAP, (b - a + 1) // 8)]
+        if len(near) and (got := checked(a, b, int(where[near].min()), int(where[near].max()))):
             out.append(got)
             continue
-        # Not as a whole: the runs that are the same word for word.
-        own = found[(found >= a) & (found <= b)]
-        cut = np.flatnonzero((np.diff(own) > 1) | (np.diff(where[own]) != 1))
-        for s, e in zip(own[np.concatenate([[0], cut + 1])].tolist(), own[np.concatenate([cut, [len(own) - 1]])].tolist()):
-            if got := checked(s, e):
-                out.append(got)
+        parts = [(s, e + SHINGLE, q, q + e - s + SHINGLE, 1.0) for s, e, q in _runs(x, y, a, b, width)]
+        for i, j in _diagonals(x[a : b + 1], y, order):
+            for s, e in _stretches(np.unique(i), width):
+                inside = (i >= s) & (i <= e)
+                if got := checked(a + s, a + e, int(j[inside].min()), int(j[inside].max())):
+                    parts.append(got)
+        # Of parts that lie within another one, the longer stands.
+        end = -1
+        for p in sorted(set(parts), key=lambda p: (p[0], -p[1], -p[4], p[2])):
+            if p[1] > end:
+                out.append(p)
+                end = p[1]
+    return out
+
+
+def _stretches(found: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """First and last of the stretches of at least `width` in ascending positions, with no more than GAP missing at a place."""
+    breaks = np.flatnonzero(np.diff(found) > GAP + 1)
+    ends = zip(found[np.concatenate([[0], breaks + 1])].tolist(), found[np.concatenate([breaks, [len(found) - 1]])].tolist())
+    return [(a, b) for a, b in ends if b - a + 1 >= width]
+
+
+def grams(s: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of `width` shingles."""
+    if len(s) < width:
+        return np.zeros(0, np.uint64)
+    base = np.uint64(0xA0761D6478BD642F)
+    up, down = _powers(base, len(s) + 1), _powers(np.uint64(pow(int(base), -1, 1 << 64)), len(s) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s * up[: len(s)], dtype=np.uint64)])
+    return mix((sums[width:] - sums[:-width]) * down[: len(s) - width + 1])
+
+
+def _runs(x: np.ndarray, y: np.ndarray, a: int, b: int, width: int) -> list[tuple[int, int, int]]:
+    """(first, last, first in y) of runs of shingles in x[a..b] that stand so in y; together they hold every such run of `width`."""
+    g, h = grams(x[a : b + 1], width), grams(y, width)
+    if not len(g) or not len(h):
+        return []
+    order = np.argsort(h, kind="stable")
+    at = np.searchsorted(h[order], g)
+    at[at == len(h)] = 0
+    same = np.flatnonzero(h[order[at]] == g)
+    out, upto = [], -1
+    for p in same.tolist():
+        if p <= upto:
+            continue
+        q = int(order[at[p]])
+        n = min(len(g) - p, len(h) - q)
+        differ = np.flatnonzero(g[p : p + n] != h[q : q + n])
+        upto = p + (int(differ[0]) if len(differ) else n) - 1
+        m = min(p, q)
+        differ = np.flatnonzero(g[p - m : p][::-1] != h[q - m : q][::-1])
+        back = int(differ[0]) if len(differ) else m
+        out.append((a + p - back, a + upto + width - 1, q - back))
     return out
 
 
+#: Hits looked at together.
+_HITS = 1 << 21
+
+
+def _diagonals(x: np.ndarray, y: np.ndarray, order: np.ndarray):
+    """Positions (i, j) of equal shingles in x and y, a band of diagonals at a time: two GAPs wide, one apart, so that whatever shifts by a
+    GAP or less lies in one of them. `order` sorts y. Many hits are found in parts of the diagonals."""
+    ys = y[order]
+    rank = np.cumsum(np.concatenate([[False], ys[1:] != ys[:-1]]))
+    m = len(y) + 1
+    key = rank * m + order
+    at = np.searchsorted(ys, x)
+    at[at == len(ys)] = 0
+    own = np.flatnonzero(ys[at] == x)
+    base = rank[at[own]] * m
+    total = int((np.searchsorted(ys, x[own], "right") - at[own]).sum())
+    first, last = -(-len(x) // GAP) * -1, len(y) // GAP
+    step = max(1, (last - first + 1) * _HITS // max(total, 1))
+    for k in range(first, last + 1, step):
+        upto = min(k + step, last + 1)  # and one bin more, for the last band
+        lo = np.searchsorted(key, base + np.clip(own + k * GAP, 0, m - 1))
+        n = np.searchsorted(key, base + np.clip(own + (upto + 1) * GAP, 0, m - 1)) - lo
+        i = np.repeat(own, n)
+        if not len(i):
+            continue
+        j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        bin_ = (j - i) // GAP - k
+        by = np.argsort(bin_, kind="stable")
+        i, j = i[by], j[by]
+        edge = np.searchsorted(bin_[by], np.arange(upto - k + 2))
+        # A stretch has a hit in every GAP + 1 places.
+        for band in np.flatnonzero(edge[2:] - edge[:-2] >= 4) if upto - k > 0 else []:
+            yield i[edge[band] : edge[band + 2]], j[edge[band] : edge[band + 2]]
+
+
 def _release(df: DataFrame) -> None:
     """Lets Spark delete the shuffle files of finished jobs now instead of when the driver's memory happens to be collected."""
     df.sparkSession.sparkContext._jvm.System.gc()
