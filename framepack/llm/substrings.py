@@ -6,6 +6,10 @@ the hashes only the nodes with windows of a passage's length matter; they are th
 extents follow from the next smaller minimum on either side. Documents that share a signature are joined with the least document that has
 it; where the compact windows of enough hash functions overlap, the passages are compared shingle by shingle.
 
+The least document may hold a fragment only, so it does not stand for the others unseen. Where three or more share a signature, each run of
+a passage's length around the least shingle is joined by its own hash with the least document that has the whole run. A signature that no
+passage found so far covers is then joined with the next documents that have it, ever more of them, until no lesser one is left.
+
 One hash function is joined with what surrounds the least shingle, on the right or on the left: of an exact repetition one side always lies
 within the passage, so exact repetitions are found whatever shingles are common elsewhere. The other functions stand alone and find passages
 that were edited.
@@ -18,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framepack.llm.bpe import slices
@@ -28,6 +32,8 @@ from framepack.llm.common import materialise
 SHINGLE, PASSAGE, SIMILAR, FUNCTIONS, OVERLAP = 5, 50, 0.8, 4, 2
 #: Unmatched shingles that may lie between matched ones of a passage: two edited words.
 GAP = 2 * SHINGLE
+#: How many times as many documents of a signature each round looks at.
+MORE = 16
 
 _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,10 +157,36 @@ def _indexed(df: DataFrame, kind: str, passage: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                text, key, f, l, _, r = signatures(part.column(1).to_pylist(), passage)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(key.view(np.int64)), pa.array(f.astype(np.int8)), pa.array(l.astype(np.int32)), pa.array(r.astype(np.int32))], ["id", "key", "f", "l", "r"])
+                text, key, f, l, c, r = signatures(part.column(1).to_pylist(), passage)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(key.view(np.int64)), pa.array(f.astype(np.int8)), *(pa.array(v.astype(np.int32)) for v in (l, c, r))], ["id", "key", "f", "l", "c", "r"])
+
+    return df.mapInArrow(run, f"id {kind}, key long, f byte, l int, c int, r int")
 
-    return df.mapInArrow(run, f"id {kind}, key long, f byte, l int, r int")
+
+def _whole_runs(df: DataFrame, kind: str, passage: int) -> DataFrame:
+    """(id, gram): hashes of the runs of a passage's length of df(id, text, w) whose least shingle is that of a window (l, c, r) in w."""
+    width = passage - SHINGLE + 1
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = part.column(2)
+                flat, at = w.flatten(), w.offsets.to_numpy()
+                l, c, r = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+                lo, hi = np.maximum(l, c - width + 1), np.minimum(c, r - width + 1)
+                ids, out = [], [np.zeros(0, np.uint64)]
+                for i, (text, a, b) in enumerate(zip(part.column(1).to_pylist(), at[:-1] - at[0], at[1:] - at[0])):
+                    g = grams(shingle_hashes(*word_hashes([text]))[0], width)
+                    step = np.zeros(len(g) + 1, np.int64)
+                    ok = (lo[a:b] <= hi[a:b]) & (hi[a:b] < len(g))
+                    np.add.at(step, lo[a:b][ok], 1)
+                    np.add.at(step, hi[a:b][ok] + 1, -1)
+                    out.append(np.unique(g[np.cumsum(step)[:-1] > 0]))
+                    ids.append(np.full(len(out[-1]), i))
+                pick = np.concatenate([np.zeros(0, np.int64), *ids])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(pick)), pa.array(np.concatenate(out).view(np.int64))], ["id", "gram"])
+
+    return df.select("id", "text", "w").mapInArrow(run, f"id {kind}, gram long")
 
 
 def overlapping(f: np.ndarray, l: np.ndarray, r: np.ndarray) -> bool:
@@ -305,18 +337,51 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", passa
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     index = _indexed(docs, kind, passage)
-    shared = index.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
+    shared = index.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last").select("key", "first", "n")
     shared = materialise(shared, "shared")
     _release(df)
-    pairs = index.join(shared, "key").where("id <> first").groupBy("id", "first").agg(F.collect_list(F.struct("f", "l", "r")).alias("w"))
+    members = materialise(index.join(shared, "key"), "members")
+    _release(df)
+    pairs = members.where("id <> first").groupBy("id", "first").agg(F.collect_list(F.struct("f", "l", "r")).alias("w"))
     pairs = materialise(_overlaps(pairs, kind), "pairs")
     _release(df)
-    named = materialise(pairs.select("id").union(pairs.select(F.col("first").alias("id"))).distinct(), "named")
+    # Two documents have been compared with each other; of more, only with the least.
+    rest = members.where("n > 2").withColumn("rank", F.dense_rank().over(Window.partitionBy("key").orderBy("id"))).drop("first", "n")
+    rest = materialise(rest, "rest")
+    _release(df)
+    named = materialise(pairs.select("id").union(pairs.select(F.col("first").alias("id"))).union(rest.select("id")).distinct(), "named")
     texts = docs.join(named, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     texts = materialise(texts, "texts")
     _release(df)
-    both = pairs.join(texts.withColumnRenamed("text", "x"), "id").join(texts.select(F.col("id").alias("first"), F.col("text").alias("y")), "first")
-    return _verified(both, kind, passage, similar).select(F.col("id").alias(id_col), "start", "end", "first_id", "first_start", "first_end", "similarity")
+    runs = _whole_runs(texts.join(rest.where("f = 0").groupBy("id").agg(F.collect_list(F.struct("l", "c", "r")).alias("w")), "id"), kind, passage)
+    firsts = materialise(runs.groupBy("gram").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("gram", "first"), "firsts")
+    _release(df)
+    pairs = materialise(pairs.union(runs.join(firsts, "gram").where("id <> first").select("id", "first")).distinct(), "pairs")
+    _release(df)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.withColumnRenamed("text", "x"), "id").join(texts.select(F.col("id").alias("first"), F.col("text").alias("y")), "first")
+        return _verified(both, kind, passage, similar)
+
+    # Exact repetitions are complete; edited passages are what the functions on their own find.
+    rest = rest.where("f > 0")
+    found, upto = materialise(verified(pairs), "found"), 1
+    while True:
+        _release(df)
+        spans = found.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("s"))
+        open_ = rest.where(F.col("rank") > upto + 1).join(spans, "id", "left").where("s is null or not exists(s, x -> x.start <= c and c < x.end)")
+        open_ = materialise(open_.select("id", "key", "f", "l", "r", "rank"), "open")
+        most = open_.agg(F.max("rank")).first()[0]
+        if most is None:
+            break
+        upto *= MORE
+        owners = rest.where(F.col("rank") <= upto).select("key", F.col("id").alias("first"), F.col("rank").alias("of")).distinct()
+        more = open_.join(owners, "key").where("of < rank").groupBy("id", "first").agg(F.collect_list(F.struct("f", "l", "r")).alias("w"))
+        more = materialise(_overlaps(more.join(pairs, ["id", "first"], "left_anti"), kind), "pairs")
+        # Passages that lie within one found before are named already.
+        fresh = verified(more).join(spans, "id", "left").where("s is null or not exists(s, x -> x.start <= start and end <= x.end)").drop("s")
+        pairs, found = pairs.union(more), found.union(materialise(fresh, "found"))
+    return found.select(F.col("id").alias(id_col), "start", "end", "first_id", "first_start", "first_end", "similarity")
 
 
 def _overlaps(pairs: DataFrame, kind: str) -> DataFrame:

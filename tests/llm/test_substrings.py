@@ -54,3 +54,35 @@ def test_diagonals_in_parts(monkeypatch):
     monkeypatch.setattr(substrings, "_HITS", 500)
     assert pairs() == whole == {(i, j) for i in range(150) for j in range(330) if x[i] == y[j] and (i, j) in whole}
     assert len(whole) > 0.99 * sum(int((y == v).sum()) for v in x)
+
+
+def test_lesser_fragments(spark):
+    """Lesser documents with fragments of a passage, in any number, do not keep those that share the whole of it apart."""
+    rng = random.Random(6)
+    rows, want = [], set()
+    for k in range(25):
+        p, base = words(rng, 50 + 2 * k), 100 * k
+        for i in range(k % 20 + 1):
+            a = rng.randrange(len(p) - 48)
+            rows.append((base + i, " ".join(words(rng, 15) + p[a : a + rng.randint(30, 49)] + words(rng, 15))))
+        rows += [(base + 50 + i, " ".join(words(rng, 20 + i) + p + words(rng, 20))) for i in range(3)]
+        want |= {(base + 50 + i, w) for i in (1, 2) for w in range(20 + i, 20 + i + len(p))}
+    got = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], w) for r in got for w in range(r["start"], r["end"])} >= want
+    text = {i: hashes(t.split()) for i, t in rows}
+    assert all(r["first_id"] < r["doc_id"] and substrings.passages(text[r["doc_id"]], text[r["first_id"]]) for r in got)
+
+
+def test_lesser_fragments_edited(spark):
+    """Edited passages are found behind more lesser fragments than the first round looks at."""
+    rng = random.Random(7)
+    rows, near = [], set()
+    for k in range(20):
+        p, base = words(rng, 120), 100 * k
+        q = list(p)
+        q[40], q[80] = "edited", "edited"
+        rows += [(base + i, " ".join(words(rng, 15) + p[at : at + 45] + words(rng, 15))) for i, at in enumerate([0, 38, 75] * 7)]
+        rows += [(base + 50, " ".join(words(rng, 20) + p)), (base + 51, " ".join(words(rng, 30) + q))]
+        near.add((base + 51, base + 50))
+    got = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({(r["doc_id"], r["first_id"]) for r in got} & near) >= 0.9 * len(near)
