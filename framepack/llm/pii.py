@@ -1,8 +1,8 @@
 """Personal data: patterns find protected entities, and information theory finds the terms that give them away. Built-in expressions only.
 
 Over the corpus, a term t reveals an entity e by their pointwise mutual information, log p(t, e) / p(t) p(e), against the information of the
-entity itself, -log p(e). The ratio is 1 if t only occurs with e. Capitalised or digit-bearing terms near an entity whose ratio reaches the
-threshold, in enough documents, are removed or generalised along with it. Probabilities are shares of documents.
+entity itself, -log p(e). The ratio is 1 if t only occurs with e. Capitalised or digit-bearing terms whose ratio with an entity reaches the
+threshold, in enough documents, are removed or generalised wherever they stand. Probabilities are shares of documents.
 
 Distinct texts are counted, so copies of a document prove nothing. Null texts are empty. Rows with equal texts get equal results.
 """
@@ -22,8 +22,8 @@ EMAIL = "(?:\\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-
 IP = "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 CARD = "[0-9](?:[\\x20-]?[0-9])++"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
-#: A term needs this many words or fewer between it and an entity, this many distinct texts with both, and this ratio.
-WINDOW, SUPPORT, RATIO = 4, 3, 0.9
+#: A term needs this many distinct texts with both it and an entity, and this ratio.
+SUPPORT, RATIO = 3, 0.9
 TERM = "[\\p{Lu}0-9][\\p{L}0-9_-]{3,63}"
 
 
@@ -57,53 +57,46 @@ def _name(s: Column) -> Column:
     return F.concat_ws(":", s["kind"].cast("string"), F.when(s["kind"] == 0, F.lower(s["value"])).when(s["kind"] == 1, s["value"]).otherwise(_digits(s["value"])))
 
 
-def nearby(text: Column, found: Column) -> Column:
-    """array<struct<entity, start, kind, end, value>> of the terms within WINDOW words of an entity."""
-    reach = f"(?:\\S+\\s+){{0,{WINDOW}}}\\S*$", f"^\\S*(?:\\s+\\S+){{0,{WINDOW}}}"
-    far = 64 * (WINDOW + 1)  # characters that hold the window
+def terms(text: Column, found: Column) -> Column:
+    """The terms of a text as spans. A term inside an entity is part of it already."""
+    return F.filter(spans.matches(text, TERM, 4), lambda t: ~F.exists(found, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
 
-    def around(s: Column) -> Column:
-        left = F.substring(text, F.greatest(F.lit(1), s["start"] - far + 1), F.least(F.lit(far), s["start"]))
-        right = F.substring(text, s["end"] + 1, F.lit(far))
-        a, b = F.regexp_extract(left, reach[0], 0), F.regexp_extract(right, reach[1], 0)
-        pick = lambda part, at: F.transform(spans.matches(part, TERM, 4), lambda m: F.struct(_name(s).alias("entity"), (at + m["start"]).alias("start"), m["kind"].alias("kind"), (at + m["end"]).alias("end"), m["value"].alias("value")))
-        return F.concat(pick(a, s["start"] - F.length(a)), pick(b, s["end"]))
 
-    terms = F.flatten(F.transform(found, around))
-    # A term inside an entity is part of it already.
-    return F.filter(terms, lambda t: ~F.exists(found, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
-
-
-def disclosures(each: DataFrame, texts: DataFrame, n_texts: int) -> DataFrame:
-    """(entity, term, ratio) of the terms that disclose an entity, from each(key, entity, value), a row per entity and term near it in a
-    text, and texts(key, text)."""
-    pairs = each.groupBy("entity", "value", "key").agg(F.lit(1).alias("one")).groupBy("entity", "value").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= SUPPORT)
+def disclosures(named: DataFrame, words: DataFrame, near: DataFrame, n_texts: int) -> DataFrame:
+    """(entity, value, ratio) of the terms that disclose an entity, from named(key, entity, n_entity), a row per entity of a text, words(key,
+    value), a row or more per term of a text, and near(key, value), a row per term of a text in named that stands outside its entities."""
+    pairs = named.join(near, "key").groupBy("entity", "value").agg(F.first("n_entity").alias("n_entity"), F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= SUPPORT)
     pairs = materialise(pairs, "pairs")
-    per_entity = each.groupBy("entity", "key").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    # How many texts hold a term is counted over the corpus: all its terms, pre-aggregated, joined with those that are asked for.
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("value"))
-    wanted = pairs.select("value").distinct()
-    per_term = words.join(wanted, "value", "left_semi").groupBy("value").agg(F.count(F.lit(1)).alias("n_term"))
-    joined = pairs.join(per_entity, "entity").join(per_term, "value")
+    # How many texts hold a term is counted over the corpus: all its terms, joined with those that are asked for.
+    per_term = words.join(pairs.select("value").distinct(), "value", "left_semi").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_term"))
     n = F.lit(float(max(n_texts, 1)))
     ratio = F.log(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log(n / F.col("n_entity"))
-    return joined.where(F.col("n_entity") < n).select("entity", "value", ratio.alias("ratio")).where(F.col("ratio") >= RATIO)
+    return pairs.join(per_term, "value").where(F.col("n_entity") < n).select("entity", "value", ratio.alias("ratio")).where(F.col("ratio") >= RATIO)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans, base_spans) of every row; sanitised() applies them to a text. Other columns are ignored."""
-    row = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), entities(text_col).alias("found"))
-    row = row.select("*", F.when(F.size("found") > 0, F.sha2(F.col("text"), 256)).alias("key"))
-    small = materialise(row.select("id", "found", "key", F.when(F.col("key").isNotNull(), nearby(F.col("text"), F.col("found"))).alias("near")), "entities")
-    lists = small.where("key is not null").groupBy("key").agg(F.first("near").alias("near"))
-    each = materialise(lists.select("key", F.inline("near")), "near")
-    texts = df.select(F.col(text_col).alias("text")).where("text is not null")
-    told = disclosures(each, texts, texts.count())
-    extra = each.join(told, ["entity", "value"]).groupBy("key").agg(F.array_distinct(F.collect_list(F.struct("start", "kind", "end", "value"))).alias("terms"))
-    # Rows without entities have no key and nothing to join; together they would be one group.
-    some = small.where("key is not null").select("id", "found", "key").join(extra, "key", "left").select("id", "found", "terms")
+    text = F.col(text_col)
+    small = materialise(df.select(F.col(id_col).alias("id"), entities(text_col).alias("found"), F.sha2(text, 256).alias("key")), "entities")
+    lists = small.where(F.size("found") > 0).groupBy("key").agg(F.first("found").alias("found"))
+    names = materialise(lists.select("key", F.explode(F.array_distinct(F.transform("found", _name))).alias("entity")), "names")
+    # An entity in fewer texts than SUPPORT has no term with that many.
+    often = names.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
+    named = materialise(names.join(often, "entity"), "named")
+    texts = df.select(text.alias("text"), F.sha2(text, 256).alias("key")).where("text is not null")
+    asked = lists.join(named.select("key").distinct(), "key", "left_semi")
+    near = texts.join(asked, "key").select("key", F.explode(F.array_distinct(F.transform(terms(F.col("text"), F.col("found")), lambda t: t["value"]))).alias("value")).distinct()
+    words = texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("value"))
+    told = materialise(disclosures(named, words, near, small.where("key is not null").select("key").distinct().count()).select("value").distinct(), "told")
+    # A disclosing term is reported wherever it stands, in texts without entities too.
+    hold = words.join(told, "value", "left_semi").groupBy("key").agg(F.collect_set("value").alias("told"))
+    at = texts.join(hold, "key").select("key", F.filter(spans.matches(F.col("text"), TERM, 4), lambda t: F.array_contains("told", t["value"])).alias("terms"))
+    at = at.groupBy("key").agg(F.first("terms").alias("terms"))
+    # Null texts have no key and nothing to join; together they would be one group.
+    some = small.where("key is not null").join(at, "key", "left").select("id", "found", "terms")
     out = some.unionByName(small.where("key is null").select("id", "found", spans.none().alias("terms")))
-    every = F.array_sort(F.concat("found", F.coalesce("terms", spans.none())))
+    free = F.filter(F.coalesce("terms", spans.none()), lambda t: ~F.exists("found", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+    every = F.array_sort(F.concat("found", free))
     return out.select(F.col("id").alias(id_col), every.alias("spans"), F.col("found").alias("base_spans"))
 
 
