@@ -9,13 +9,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh temporary folder where that is unset (tests, local mode)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a fresh temporary folder if all runs on one machine, as in
+    tests; a cluster has no folder to share then, so that is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="framepack-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -23,22 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and a lost executor costs no recomputation."""
+    """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and a lost executor costs no recomputation. The
+    shuffle files of the write are deleted with its end. The table stays until discard() or the end of the process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    schema, before = df.schema, spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    _written[path] = spark
+    out = spark.read.schema(schema).parquet(path)
+    out.written_path = path
+    return out
 
 
 def discard(*frames: DataFrame) -> None:
-    """Deletes written tables that no later step reads."""
+    """Deletes tables that materialise() returned and no later step reads."""
     for df in frames:
-        for name in df.inputFiles()[:1]:
-            for spark, path in list(_written):
-                if path.rpartition("/")[2] in name:
-                    _delete(spark, path)
-                    _written.remove((spark, path))
+        spark = _written.pop(df.written_path, None)
+        if spark is not None:
+            _delete(spark, df.written_path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -49,13 +60,21 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
             _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session is already gone
             return
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df has not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def bind(value: Column, use) -> Column:
     """use(value) with value computed once per row: a lambda variable holds it, so no later projection repeats the work."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -3,37 +3,47 @@
 The words of a text become hashes of 5-word shingles. For a hash function, the least shingle of a subsequence is its signature, and all
 subsequences with the same least shingle form a compact window (l, c, r): they begin in l..c and end in c..r. Of the Cartesian tree over
 the hashes only the nodes with windows of a passage's length matter; they are the minima of the sliding windows of that length, and their
-extents follow from the next smaller minimum on either side. Documents that share a signature are joined with the least document that has
-it; where the compact windows of enough hash functions overlap, the passages are compared shingle by shingle.
-
-The least document may hold a fragment only, so it does not stand for the others unseen. Where three or more share a signature, each run of
-a passage's length around the least shingle is joined by its own hash with the least document that has the whole run. A signature that no
-passage found so far covers is then joined with the next documents that have it, ever more of them, until no lesser one is left.
-
-One hash function is joined with what surrounds the least shingle, on the right or on the left: of an exact repetition one side always lies
-within the passage, so exact repetitions are found whatever shingles are common elsewhere. The other functions stand alone and find passages
-that were edited.
-
-Words are separated by ASCII white space. Null texts, and texts shorter than a passage, have none. Rows with a null id are left out: a result
-names documents. Of rows with equal ids the greatest text counts.
+extents follow from the next smaller minimum on either side. A signature that texts of different content have is shared.
+
+Within a document the compact windows with shared signatures are joined as intervals. Where those of all hash functions meet, a passage may
+be repeated word for word: every run of a passage's length there gets a hash of its own, and each document is told the least document that
+has the whole run. So no document that has but a part of a passage stands between those that have all of it, and every exact repetition is
+found. Runs that go on in the same document, or go on after a few other words, are one passage.
+
+Where the windows of enough functions meet, a passage may be repeated with edits. At this similarity an edited passage holds long unedited
+stretches; those beside the least shingles become seeds. A seed that no exact repetition covers is joined with the least document that has
+it, and the passages are compared shingle by shingle. Of a seed that nothing found so far covers, the surroundings in all documents that have
+it are compared, in bounded blocks: a passage of this similarity has a place where they agree that far. The lesser document that agrees most
+is compared whole, and then ever more of those that agree, until the seed is covered or none is left. A seed of a word or two said over and
+over tells nothing, so a seed has at least half as many different shingles as shingles.
+
+A row is told apart by its id and its text, so rows with equal ids and different texts are documents of their own, in the order of a hash;
+repeated rows are one document. Of rows with the same text that of the least id stands for the others, each of which is a repetition as a
+whole. Words are separated by ASCII white space. Null texts, and texts shorter than a passage, have none. Rows with a null id are left out:
+a result names documents. Ties, a passage that stands several times in the least document, go to its first place there.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framepack.llm.bpe import slices
-from framepack.llm.common import materialise
+from framepack.llm.buckets import dealt, groups, near_pairs
+from framepack.llm.common import discard, fresh, materialise
 
-#: Words in a shingle and in a passage, least similarity, hash functions on their own, and how many of them must overlap.
+#: Words in a shingle and in a passage, least similarity, hash functions, and how many of them must meet where a passage was edited.
 SHINGLE, PASSAGE, SIMILAR, FUNCTIONS, OVERLAP = 5, 50, 0.8, 4, 2
 #: Unmatched shingles that may lie between matched ones of a passage: two edited words.
 GAP = 2 * SHINGLE
-#: How many times as many documents of a signature each round looks at.
-MORE = 16
+#: Shingles in a seed: a passage of the least length and similarity has 41 unedited ones in two stretches, so 21 in one, of which as many
+#: lie on one side of any.
+SEED = 10
+#: How many times as many documents that agree around a seed each round looks at, and the members of a block.
+MORE, BLOCK = 8, 512
 
 _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,85 +140,149 @@ def signatures(texts: list[str | None], passage: int = PASSAGE) -> tuple[np.ndar
     width = passage - SHINGLE + 1
     s, n = shingle_hashes(*word_hashes(texts))
     text = np.repeat(np.arange(len(n)), n)
-    first = (np.cumsum(n) - n)[text] if len(text) else text
-    bounds = np.concatenate([[0], np.cumsum(n)])
+    before = np.cumsum(n) - n
     out = []
-    for f in range(FUNCTIONS + 1):
+    for f in range(FUNCTIONS):
         h = mix(s ^ _SEED[f])
         l, c, r = windows(h, text, width)
-        if f:
-            out.append((c, h[c], np.full(len(c), f), l, r))
-            continue
-        side = width // 2
-        base = np.uint64(0xA0761D6478BD642F)
-        up = _powers(base, len(s) + 1)
-        down = _powers(np.uint64(pow(int(base), -1, 1 << 64)), len(s) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s * up[: len(s)], dtype=np.uint64)])
-        for tag, lo, hi in ((1, c, c + side), (2, c - side + 1, c + 1)):
-            ok = (lo >= bounds[text[c]]) & (hi <= bounds[text[c] + 1])
-            a, b = lo[ok], hi[ok]
-            out.append((c[ok], mix((sums[b] - sums[a]) * down[a] + np.uint64(tag)), np.zeros(len(a), np.int64), l[ok], r[ok]))
+        out.append((c, mix(h[c] + np.uint64(f)), np.full(len(c), f), l, r))
     c, key, f, l, r = (np.concatenate(x) for x in zip(*out))
-    at = first[c] if len(c) else c
-    return text[c] if len(c) else c, mix(key + f.astype(np.uint64)), f, l - at, c - at, r - at
+    own = text[c] if len(c) else c
+    at = before[own] if len(c) else c
+    return own, key, f, l - at, c - at, r - at
 
 
-def _indexed(df: DataFrame, kind: str, passage: int) -> DataFrame:
+def _indexed(docs: DataFrame, kind: str, passage: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                text, key, f, l, c, r = signatures(part.column(1).to_pylist(), passage)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(key.view(np.int64)), pa.array(f.astype(np.int8)), *(pa.array(v.astype(np.int32)) for v in (l, c, r))], ["id", "key", "f", "l", "c", "r"])
+                text, key, f, l, c, r = signatures(part.column(2).to_pylist(), passage)
+                pick = pa.array(text)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pick), part.column(1).take(pick), pa.array(key.view(np.int64)), pa.array(f.astype(np.int8)), *(pa.array(v.astype(np.int32)) for v in (l, c, r))], ["id", "h", "key", "f", "l", "c", "r"])
 
-    return df.mapInArrow(run, f"id {kind}, key long, f byte, l int, c int, r int")
+    return docs.select("id", "h", "text").mapInArrow(run, f"id {kind}, h long, key long, f byte, l int, c int, r int")
 
 
-def _whole_runs(df: DataFrame, kind: str, passage: int) -> DataFrame:
-    """(id, gram): hashes of the runs of a passage's length of df(id, text, w) whose least shingle is that of a window (l, c, r) in w."""
+def marks(texts: list[str], owner: np.ndarray, f: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, whole, key, pos): hashes of the runs of a passage's length (whole) and of seeds, and the shingles where they begin. The windows
+    (f, l, c, r) with shared signatures belong to texts[owner]; they are joined as intervals of the places where a passage may begin."""
     width = passage - SHINGLE + 1
+    s, n = shingle_hashes(*word_hashes(texts))
+    before = np.cumsum(n) - n
+    text = np.repeat(np.arange(len(n)), n)
+    at = before[owner]
+    lo, hi = np.maximum(l, c - width + 1) + at, np.minimum(c, r - width + 1) + at
+    count = np.zeros(len(s), np.int8)
+    for k in range(FUNCTIONS):
+        step = np.zeros(len(s) + 1, np.int32)
+        own = f == k
+        np.add.at(step, lo[own], 1)
+        np.add.at(step, hi[own] + 1, -1)
+        count += np.cumsum(step)[:-1] > 0
+    whole = np.flatnonzero(count == FUNCTIONS)
+    some = np.concatenate([[0], np.cumsum(count >= OVERLAP)])
+    c = np.unique((c + at)[some[hi + 1] > some[lo]]) if len(c) else c
+    if len(c):
+        seed = np.unique(np.concatenate([c[c + SEED <= (before + n)[text[c]]], c[c - SEED + 1 >= before[text[c]]] - SEED + 1]))
+        run = np.sort(s[seed[:, None] + np.arange(SEED)], axis=1)
+        seed = seed[1 + (run[:, 1:] != run[:, :-1]).sum(axis=1) >= SEED // 2]
+    else:
+        seed = c
+    key = np.concatenate([grams(s, width)[whole], grams(s, SEED)[seed]])
+    pos = np.concatenate([whole, seed])
+    own = text[pos] if len(pos) else pos
+    return own, np.arange(len(pos)) < len(whole), key, pos - before[own] if len(pos) else pos
+
+
+def _marked(df: DataFrame, kind: str, passage: int) -> DataFrame:
+    """marks() of df(id, h, text, w), w the windows with shared signatures."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                w = part.column(2)
+                w = part.column(3)
                 flat, at = w.flatten(), w.offsets.to_numpy()
-                l, c, r = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-                lo, hi = np.maximum(l, c - width + 1), np.minimum(c, r - width + 1)
-                ids, out = [], [np.zeros(0, np.uint64)]
-                for i, (text, a, b) in enumerate(zip(part.column(1).to_pylist(), at[:-1] - at[0], at[1:] - at[0])):
-                    g = grams(shingle_hashes(*word_hashes([text]))[0], width)
-                    step = np.zeros(len(g) + 1, np.int64)
-                    ok = (lo[a:b] <= hi[a:b]) & (hi[a:b] < len(g))
-                    np.add.at(step, lo[a:b][ok], 1)
-                    np.add.at(step, hi[a:b][ok] + 1, -1)
-                    out.append(np.unique(g[np.cumsum(step)[:-1] > 0]))
-                    ids.append(np.full(len(out[-1]), i))
-                pick = np.concatenate([np.zeros(0, np.int64), *ids])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(pick)), pa.array(np.concatenate(out).view(np.int64))], ["id", "gram"])
-
-    return df.select("id", "text", "w").mapInArrow(run, f"id {kind}, gram long")
-
-
-def overlapping(f: np.ndarray, l: np.ndarray, r: np.ndarray) -> bool:
-    """Whether the windows of OVERLAP functions meet at some place, or a window of function 0, whose keys tell more, is among them."""
-    if (f == 0).any():
-        return True
-    edge = np.concatenate([l, r + 1])
-    order = np.lexsort((np.concatenate([np.ones(len(l)), np.zeros(len(r))]), edge))
-    open_ = np.zeros(FUNCTIONS + 1, dtype=int)
-    which, step = np.concatenate([f, f])[order], np.concatenate([np.ones(len(l), int), -np.ones(len(r), int)])[order]
-    for k, d in zip(which, step):
-        open_[k] += d
-        if d > 0 and (open_ > 0).sum() >= OVERLAP:
-            return True
-    return False
+                f, l, c, r = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+                own, whole, key, pos = marks(part.column(2).to_pylist(), np.repeat(np.arange(part.num_rows), np.diff(at)), f, l, c, r, passage)
+                pick = pa.array(own)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pick), part.column(1).take(pick), pa.array(whole), pa.array(key.view(np.int64)), pa.array(pos.astype(np.int32))], ["id", "h", "whole", "key", "pos"])
+
+    return df.select("id", "h", "text", "w").mapInArrow(run, f"id {kind}, h long, whole boolean, key long, pos int")
+
+
+_FOUND = ["id", "h", "start", "end", "first_id", "first_h", "first_start", "first_end", "similarity"]
+
+
+def _schema(kind: str) -> str:
+    return f"id {kind}, h long, start long, end long, first_id {kind}, first_h long, first_start long, first_end long, similarity double"
+
+
+def _joined_runs(rows: DataFrame, kind: str, passage: int, similar: float) -> DataFrame:
+    """Passages from rows (id, h, pos, first_id, first_h, first_pos) of equal runs: runs of one document that go on in the same first
+    document are one passage, also after a few other words, while they stay similar. Rows come sorted by id, h, pos; a document's rows are
+    as many as its words at most."""
+    width = passage - SHINGLE + 1
+
+    def run(batches):
+        held: pa.Table | None = None
+
+        def done(table: pa.Table) -> pa.RecordBatch:
+            table = table.combine_chunks()
+            pos, at = (table.column(k).to_numpy().astype(np.int64) for k in ("pos", "first_pos"))
+            other = _changes(table, ("id", "h", "first_id", "first_h"))
+            begin = np.flatnonzero(other | (np.diff(pos, prepend=-9) != 1) | (np.diff(at, prepend=-9) != 1))
+            end = np.append(begin[1:], len(pos)) - 1
+            # Row, first and last shingle, the same in the first document, and the shingles that count: here, there and in both.
+            out: list[list[int]] = []
+            for i, x, y, u, v, begun in zip(begin.tolist(), pos[begin].tolist(), (pos[end] + width).tolist(), at[begin].tolist(), (at[end] + width).tolist(), other[begin].tolist()):
+                if out and not begun:
+                    last = out[-1]
+                    if x <= last[2] and last[3] <= u <= last[4]:  # what the first document has there, over again
+                        more = max(0, v - last[4])
+                        last[2], last[4] = max(y, last[2]), last[4] + more
+                        last[5:] = [z + more for z in last[5:]]
+                        continue
+                    here, there, both = last[5] + y - last[2], last[6] + v - last[4], last[7] + y - x
+                    if 0 <= x - last[2] <= GAP and 0 <= u - last[4] <= GAP and both >= similar * (here + there - both):
+                        out[-1] = [last[0], last[1], y, last[3], v, here, there, both]
+                        continue
+                out.append([i, x, y, u, v, y - x, y - x, y - x])
+            cols = np.array(out, dtype=np.int64).reshape(-1, 8).T
+            pick, more = pa.array(cols[0]), SHINGLE - 1
+            share = cols[7] / np.maximum(cols[5] + cols[6] - cols[7], 1)
+            values = [table.column("id").take(pick), table.column("h").take(pick), pa.array(cols[1]), pa.array(cols[2] + more), table.column("first_id").take(pick), table.column("first_h").take(pick), pa.array(cols[3]), pa.array(cols[4] + more), pa.array(share)]
+            return pa.Table.from_arrays(values, _FOUND)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            starts = np.flatnonzero(_changes(table, ("id", "h")))
+            if len(starts) > 1:
+                yield from done(table.slice(0, int(starts[-1]))).to_batches()
+                table = table.slice(int(starts[-1]))
+            held = table
+        if held is not None and held.num_rows:
+            yield from done(held).to_batches()
+
+    return rows.repartition("id", "h").sortWithinPartitions("id", "h", "pos").select("id", "h", "pos", "first_id", "first_h", "first_pos").mapInArrow(run, _schema(kind))
+
+
+def _changes(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
+    out = np.zeros(table.num_rows, dtype=bool)
+    out[:1] = True
+    for name in names:
+        col = table.column(name).combine_chunks()
+        out[1:] |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+    return out
 
 
 def passages(x: np.ndarray, y: np.ndarray, passage: int = PASSAGE, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
     """(start, end, start in y, end in y, similarity) in words of the passages of x, shingle hashes, that repeat in y; Jaccard similarity.
 
     A stretch of shingles that y has is compared with where they first stand in y, and if that fails with all places where they stand: the
-    runs that are the same word for word, and each diagonal's stretches on their own."""
+    runs that are the same word for word, each diagonal's stretches on their own, and within a stretch that is not similar as a whole the runs
+    of a passage's length that are."""
     width = passage - SHINGLE + 1
     if len(x) < width or len(y) < width:
         return []
@@ -227,6 +301,22 @@ def passages(x: np.ndarray, y: np.ndarray, passage: int = PASSAGE, similar: floa
         j = both / (len(u) + len(v) - both)
         return (a, b + SHINGLE, lo, hi + SHINGLE, j) if j >= similar else None
 
+    def dense(a: int, b: int, i: np.ndarray, j: np.ndarray) -> list[tuple]:
+        """Similar runs of a passage's length in x[a..b], of the hits (i, j) on neighbouring diagonals; one after another."""
+        has = np.zeros(b - a + 1, bool)
+        has[i - a] = True
+        sums = np.concatenate([[0], np.cumsum(has)])
+        got, upto = [], -1
+        for s in np.flatnonzero(sums[width:] - sums[:-width] >= similar * (width + SHINGLE - 1)).tolist():
+            if s > upto:
+                inside = (i >= a + s) & (i < a + s + width)
+                if p := checked(a + s, a + s + width - 1, int(j[inside].min()), int(j[inside].max())):
+                    got.append(p)
+                    upto = s + width // 2
+                else:
+                    upto = s + SHINGLE - 1  # an edit further on changes so many
+        return got
+
     out = []
     for a, b in _stretches(found, width):
         own = np.flatnonzero(hit[a : b + 1]) + a
@@ -241,6 +331,8 @@ def passages(x: np.ndarray, y: np.ndarray, passage: int = PASSAGE, similar: floa
                 inside = (i >= s) & (i <= e)
                 if got := checked(a + s, a + e, int(j[inside].min()), int(j[inside].max())):
                     parts.append(got)
+                elif e - s >= width:
+                    parts += dense(a + s, a + e, i[inside] + a, j[inside])
         # Of parts that lie within another one, the longer stands.
         end = -1
         for p in sorted(set(parts), key=lambda p: (p[0], -p[1], -p[4], p[2])):
@@ -326,95 +418,210 @@ def _diagonals(x: np.ndarray, y: np.ndarray, order: np.ndarray):
             yield i[edge[band] : edge[band + 2]], j[edge[band] : edge[band + 2]]
 
 
-def _release(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now instead of when the driver's memory happens to be collected."""
-    df.sparkSession.sparkContext._jvm.System.gc()
+def _copies(docs: DataFrame, passage: int) -> DataFrame:
+    """(id, h, n_words, first_id) of the rows whose whole text a row of lesser id has, texts that can hold a passage."""
+    whole = docs.select("id", "h", F.crc32("text").alias("crc"), F.length("text").alias("size"), F.when(F.length("text") >= 2 * passage - 1, F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))).alias("n_words")).where(F.col("n_words") >= passage)
+    some = whole.groupBy("h", "crc", "size").agg(F.min("id").alias("first_id"), F.max("id").alias("last")).where("first_id <> last")
+    return whole.join(some.drop("last"), ["h", "crc", "size"]).where("id <> first_id").select("id", "h", "n_words", "first_id").distinct()
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, similar: float = SIMILAR) -> DataFrame:
-    """(id, start, end, first_id, first_start, first_end, similarity): a passage of a document that the document first_id, of lesser id, has
-    too. Positions are words, ends exclusive. Every document but the least of those that share a passage is named. Other columns are ignored."""
+def _open(seeds: DataFrame, found: DataFrame) -> DataFrame:
+    """The seeds (id, h, pos, ...) that no passage found covers."""
+    spans = found.groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("s"))
+    return seeds.join(spans, ["id", "h"], "left").where(f"s is null or not exists(s, x -> x.start <= pos and pos + {SEED + SHINGLE - 1} <= x.end)").drop("s")
+
+
+def _passages(df: DataFrame, id_col: str, text_col: str, passage: int, similar: float) -> DataFrame:
+    """Rows as repeats() returns them, with the hashes of the two texts: (id, h, start, end, first_id, first_h, first_start, ...)."""
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).where("id is not null and text is not null")
+    copies = materialise(_copies(docs, passage), "copies")
     index = _indexed(docs, kind, passage)
-    shared = index.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last").select("key", "first", "n")
-    shared = materialise(shared, "shared")
-    _release(df)
-    members = materialise(index.join(shared, "key"), "members")
-    _release(df)
-    pairs = members.where("id <> first").groupBy("id", "first").agg(F.collect_list(F.struct("f", "l", "r")).alias("w"))
-    pairs = materialise(_overlaps(pairs, kind), "pairs")
-    _release(df)
-    # Two documents have been compared with each other; of more, only with the least.
-    rest = members.where("n > 2").withColumn("rank", F.dense_rank().over(Window.partitionBy("key").orderBy("id"))).drop("first", "n")
-    rest = materialise(rest, "rest")
-    _release(df)
-    named = materialise(pairs.select("id").union(pairs.select(F.col("first").alias("id"))).union(rest.select("id")).distinct(), "named")
-    texts = docs.join(named, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    shared = materialise(index.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key"), "shared")
+    members = index.join(shared, "key").join(copies.select("id", "h"), ["id", "h"], "left_anti")
+    members = members.groupBy("id", "h").agg(F.collect_list(F.struct("f", "l", "c", "r")).alias("w")).where(F.size("w") >= OVERLAP)
+    texts = docs.join(members, ["id", "h"]).groupBy("id", "h").agg(F.max("text").alias("text"), F.first("w").alias("w"))
     texts = materialise(texts, "texts")
-    _release(df)
-    runs = _whole_runs(texts.join(rest.where("f = 0").groupBy("id").agg(F.collect_list(F.struct("l", "c", "r")).alias("w")), "id"), kind, passage)
-    firsts = materialise(runs.groupBy("gram").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("gram", "first"), "firsts")
-    _release(df)
-    pairs = materialise(pairs.union(runs.join(firsts, "gram").where("id <> first").select("id", "first")).distinct(), "pairs")
-    _release(df)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.withColumnRenamed("text", "x"), "id").join(texts.select(F.col("id").alias("first"), F.col("text").alias("y")), "first")
-        return _verified(both, kind, passage, similar)
-
-    # Exact repetitions are complete; edited passages are what the functions on their own find.
-    rest = rest.where("f > 0")
-    found, upto = materialise(verified(pairs), "found"), 1
+    discard(shared)
+    places = materialise(_marked(texts, kind, passage), "places")
+
+    # Word for word: each run's least document.
+    runs = places.where("whole").select("id", "h", "key", "pos")
+    firsts = runs.groupBy("key").agg(F.min(F.struct("id", "h", "pos")).alias("first"), F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
+    firsts = firsts.select("key", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"), F.col("first.pos").alias("first_pos"))
+    found = materialise(_joined_runs(runs.join(firsts, "key").where("id <> first_id or h <> first_h"), kind, passage, similar), "found")
+
+    # Edited: seeds that are left over, with the least document first.
+    seeds = places.where("not whole").select("id", "h", "key", "pos")
+    often = seeds.groupBy("key").agg(F.min(F.struct("id", "h")).alias("least"), F.count(F.lit(1)).alias("n"), F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
+    rest = _open(seeds.join(often.drop("a", "b"), "key").where("id <> least.id or h <> least.h"), found)
+    rest = materialise(rest.select("id", "h", "key", "pos", "n", F.col("least.id").alias("first_id"), F.col("least.h").alias("first_h")), "rest")
+    pairs = materialise(rest.select(*_PAIR).distinct(), "pairs")
+    tried, rest, take = pairs, rest.where("n > 2").select("id", "h", "key", "pos"), 1
     while True:
-        _release(df)
-        spans = found.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("s"))
-        open_ = rest.where(F.col("rank") > upto + 1).join(spans, "id", "left").where("s is null or not exists(s, x -> x.start <= c and c < x.end)")
-        open_ = materialise(open_.select("id", "key", "f", "l", "r", "rank"), "open")
-        most = open_.agg(F.max("rank")).first()[0]
-        if most is None:
-            break
-        upto *= MORE
-        owners = rest.where(F.col("rank") <= upto).select("key", F.col("id").alias("first"), F.col("rank").alias("of")).distinct()
-        more = open_.join(owners, "key").where("of < rank").groupBy("id", "first").agg(F.collect_list(F.struct("f", "l", "r")).alias("w"))
-        more = materialise(_overlaps(more.join(pairs, ["id", "first"], "left_anti"), kind), "pairs")
+        edited = materialise(_verified(pairs, texts, kind, passage, similar), "edited")
         # Passages that lie within one found before are named already.
-        fresh = verified(more).join(spans, "id", "left").where("s is null or not exists(s, x -> x.start <= start and end <= x.end)").drop("s")
-        pairs, found = pairs.union(more), found.union(materialise(fresh, "found"))
-    return found.select(F.col("id").alias(id_col), "start", "end", "first_id", "first_start", "first_end", "similarity")
+        spans = found.groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("s"))
+        edited = edited.join(spans, ["id", "h"], "left").where("s is null or not exists(s, x -> x.start <= start and end <= x.end)")
+        found = found.unionByName(edited.select(*_FOUND))
+        rest = materialise(_open(rest, found), "rest")
+        if rest.isEmpty():
+            break
+        near = materialise(_agreeing(rest, seeds, texts, kind, passage, similar, take), "near")
+        pairs = materialise(near.select(*_PAIR).distinct().join(tried, _PAIR, "left_anti"), "pairs")
+        rest = rest.join(near.where("more").select("id", "h", "key").distinct(), ["id", "h", "key"], "left_semi")
+        tried, take = tried.union(pairs), take * MORE
+    whole = copies.select("id", "h", F.lit(0).cast("long").alias("start"), F.col("n_words").cast("long").alias("end"), "first_id", F.col("h").alias("first_h"), F.lit(0).cast("long").alias("first_start"), F.col("n_words").cast("long").alias("first_end"), F.lit(1.0).alias("similarity"))
+    discard(places)
+    return found.unionByName(whole)
 
 
-def _overlaps(pairs: DataFrame, kind: str) -> DataFrame:
-    def run(batches):
+_PAIR = ["id", "h", "first_id", "first_h"]
+
+
+def _agreeing(rest: DataFrame, seeds: DataFrame, texts: DataFrame, kind: str, passage: int, similar: float, take: int) -> DataFrame:
+    """(key, id, h, first_id, first_h, more): for each seed of rest(id, h, key, pos) the lesser documents whose surroundings of the seed have
+    enough shingles in common with it, the `take` of each group of blocks that have most, and whether there are more."""
+    width = passage - SHINGLE + 1
+    members = seeds.join(rest.select("key").distinct(), "key", "left_semi").join(rest.withColumn("wanted", F.lit(True)), ["id", "h", "key", "pos"], "left")
+    members = members.groupBy("id", "h").agg(F.collect_list(F.struct("key", "pos", F.coalesce("wanted", F.lit(False)).alias("wanted"))).alias("w"))
+
+    def surroundings(batches):
         for batch in batches:
-            w = batch.column(2)
-            flat, at = w.flatten(), w.offsets.to_numpy()
-            f, l, r = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            at = at - at[0]
-            keep = [overlapping(f[a:b], l[a:b], r[a:b]) for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["id", "first"]).filter(pa.array(keep, pa.bool_()))
+            for part in slices(batch, "text"):
+                w = part.column(3)
+                flat, at = w.flatten(), w.offsets.to_numpy()
+                s, n = shingle_hashes(*word_hashes(part.column(2).to_pylist()))
+                own = np.repeat(np.arange(part.num_rows), np.diff(at))
+                first = (np.cumsum(n) - n)[own]
+                pos = flat.field(1).to_numpy() + first
+                lo, hi = np.maximum(pos - width + SEED, first), np.minimum(pos + width, first + n[own])
+                around = [s[a:b].astype(np.uint32).view(np.int32) for a, b in zip(lo.tolist(), hi.tolist())]
+                differ = np.fromiter((len(np.unique(x)) for x in around), np.int64, len(around))
+                # However a passage lies there, so many different shingles it has at least, and this share of them in common.
+                need = np.ceil(2 * similar / (1 + similar) * (differ - (hi - lo - width)) - 1e-9)
+                pick = pa.array(own)
+                yield pa.RecordBatch.from_arrays([flat.field(0), part.column(0).take(pick), part.column(1).take(pick), flat.field(2), pa.array(np.maximum(need, SEED // 2).astype(np.int32)), pa.array(around, pa.list_(pa.int32()))], ["key", "id", "h", "wanted", "need", "around"])
+
+    around = texts.select("id", "h", "text").join(members, ["id", "h"]).mapInArrow(surroundings, f"key long, id {kind}, h long, wanted boolean, need int, around array<int>")
+    around = materialise(around, "around")
+    large = around.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    rows = dealt(around, None if large.isEmpty() else large, "id", BLOCK).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id", "h")
+
+    def compare(batches):
+        for table, starts in groups(batches):
+            x, y, more = _most_alike(table, starts, take, width, similar)
+            x, y = pa.array(x), pa.array(y)
+            ids, h = table.column("id").combine_chunks(), table.column("h").combine_chunks()
+            yield pa.RecordBatch.from_arrays([table.column("key").combine_chunks().take(x), ids.take(x), h.take(x), ids.take(y), h.take(y), pa.array(more)], ["key", "id", "h", "first_id", "first_h", "more"])
+
+    return rows.select("key", "bi", "bj", "b", "id", "h", "wanted", "need", "around").mapInArrow(compare, f"key long, id {kind}, h long, first_id {kind}, first_h long, more boolean")
+
+
+#: Groups up to this size are compared pair by pair, larger ones by matrix, so many columns at a time.
+_FEW, _COLUMNS = 16, 4096
+
+
+def _most_alike(table: pa.Table, starts: np.ndarray, take: int, width: int, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, the lesser rows of their groups that have most in common with them, and whether there are more. Groups are sorted by id, h.
+
+    Two rows need enough different shingles in common and, if all of a row's differ, enough of them in some run that a passage may be."""
+    around = table.column("around").combine_chunks()
+    flat, at = around.flatten().to_numpy(), around.offsets.to_numpy().astype(np.int64)
+    at = at - at[0]
+    need, wanted, b, bi, bj = (table.column(k).to_numpy() for k in ("need", "wanted", "b", "bi", "bj"))
+    doc = np.cumsum(_changes(table, ("key", "bi", "bj", "id", "h")))
+    size = np.diff(at)
+    wide = max(int(size.max()) if len(size) else 0, width)
+    # An edit leaves SHINGLE - 1 shingles on either side without a match, so a run of n shingles of a passage has this many at least.
+    lengths = np.arange(width, wide + 1)
+    least = np.ceil(similar * (lengths + SHINGLE - 1) - 1e-9).astype(np.int16)
+    plain = need >= np.ceil(2 * similar / (1 + similar) * width - 1e-9)
+    inside = np.arange(wide)[None, :] < size[:, None]
+    place = np.minimum(at[:-1, None] + np.arange(wide), max(len(flat) - 1, 0))
+    xs, ys, counts = [], [], []
+
+    def hold(x, y, met):
+        """met: for each pair which of x's shingles y has."""
+        sums = np.zeros((len(x), wide + 1), np.int16)
+        np.cumsum(met, axis=1, out=sums[:, 1:])
+        more = np.max([(sums[:, n:] - sums[:, :-n]).max(axis=1) - k for n, k in zip(lengths.tolist(), least)], axis=0)
+        ok = (sums[:, -1] >= need[x]) & (~plain[x] | (more >= 0))
+        xs.append(x[ok])
+        ys.append(y[ok])
+        counts.append(more[ok])
+
+    def eligible(x, y):
+        return wanted[x] & (doc[x] != doc[y]) & ((b[x] != b[y]) | (bi[x] == bj[x]))
+
+    for y, x in near_pairs(starts, _FEW):
+        own = eligible(x, y)
+        x, y = x[own], y[own]
+        for k in range(0, len(x), 2000):
+            p, q = x[k : k + 2000], y[k : k + 2000]
+            left, right = (np.where(inside[z], flat[place[z]].astype(np.int64), -(1 << 40) - i) for i, z in enumerate((p, q)))
+            hold(p, q, (left[:, :, None] == right[:, None, :]).any(axis=2))
+    for g in np.flatnonzero(np.diff(starts) > _FEW):
+        s, e = int(starts[g]), int(starts[g + 1])
+        if not wanted[s:e].any():
+            continue
+        values, column, n = np.unique(flat[at[s] : at[e]], return_inverse=True, return_counts=True)
+        often = n > 1
+        column = np.where(often, np.cumsum(often), 0)[column]  # 0: a value that no other row has
+        row = np.repeat(np.arange(e - s), size[s:e])
+        has = np.zeros((e - s, int(often.sum()) + 1), bool)
+        has[row, column] = True
+        has[:, 0] = False
+        common = np.zeros((e - s, e - s), np.float32)
+        for k in range(1, has.shape[1], _COLUMNS):
+            m = has[:, k : k + _COLUMNS].astype(np.float32)
+            common += m @ m.T
+        x, y = np.nonzero(np.tril(common >= np.maximum.outer(need[s:e], need[s:e]), -1))
+        ok = eligible(x + s, y + s)
+        x, y = x[ok], y[ok]
+        columns = np.where(inside[s:e], column[np.minimum(place[s:e] - at[s], len(column) - 1)], 0)
+        for k in range(0, len(x), 20_000):
+            p, q = x[k : k + 20_000], y[k : k + 20_000]
+            hold(p + s, q + s, has[q[:, None], columns[p]])
+    if not xs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    x, y, common = (np.concatenate(z) for z in (xs, ys, counts))
+    order = np.lexsort((y, -common, x))
+    x, y = x[order], y[order]
+    begin = np.flatnonzero(np.diff(x, prepend=-1))
+    nth = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
+    left = np.repeat(np.diff(np.append(begin, len(x))), np.diff(np.append(begin, len(x)))) > take
+    return x[nth < take], y[nth < take], left[nth < take]
 
-    return pairs.select("id", "first", "w").mapInArrow(run, f"id {kind}, first {kind}")
 
+def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, similar: float = SIMILAR) -> DataFrame:
+    """(id, start, end, first_id, first_start, first_end, similarity): a passage of a document that the document first_id, of lesser id, has
+    too. Positions are words, ends exclusive. Every document but the least of those that share a passage is named. Other columns are ignored."""
+    found = _passages(df, id_col, text_col, passage, similar)
+    return found.select(F.col("id").alias(id_col), "start", "end", "first_id", "first_start", "first_end", "similarity")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, kind: str, passage: int, similar: float) -> DataFrame:
+    """The passages of pairs(id, h, first_id, first_h) of documents."""
+    both = pairs.join(texts.select("id", "h", F.col("text").alias("x")), ["id", "h"])
+    both = both.join(texts.select(F.col("id").alias("first_id"), F.col("h").alias("first_h"), F.col("text").alias("y")), ["first_id", "first_h"])
 
-def _verified(both: DataFrame, kind: str, passage: int, similar: float) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "x"):
-                rows = []
-                last, seen = None, None
-                for i, (first, x, y) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist())):
-                    if last != first:
-                        last, seen = first, shingle_hashes(*word_hashes([y]))[0]
-                    rows += [(i, *p) for p in passages(shingle_hashes(*word_hashes([x]))[0], seen, passage, similar)]
-                cols = list(zip(*rows)) if rows else [[]] * 6
-                pick = pa.array(cols[0], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pick), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), part.column(1).take(pick), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.float64())],
-                    ["id", "start", "end", "first_id", "first_start", "first_end", "similarity"],
-                )
-
-    return both.select("id", "first", "x", "y").mapInArrow(run, f"id {kind}, start long, end long, first_id {kind}, first_start long, first_end long, similarity double")
+            for longer in slices(batch, "x"):
+                for part in slices(longer, "y"):
+                    rows = []
+                    last, seen = None, None
+                    for i, (x, y, of) in enumerate(zip(part.column(4).to_pylist(), part.column(5).to_pylist(), part.column(3).to_pylist())):
+                        if last != (of, len(y)):
+                            last, seen = (of, len(y)), shingle_hashes(*word_hashes([y]))[0]
+                        rows += [(i, *p) for p in passages(shingle_hashes(*word_hashes([x]))[0], seen, passage, similar)]
+                    cols = list(zip(*rows)) if rows else [[]] * 6
+                    pick = pa.array(cols[0], pa.int64())
+                    a, b, u, v = (pa.array(c, pa.int64()) for c in cols[1:5])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pick), part.column(1).take(pick), a, b, part.column(2).take(pick), part.column(3).take(pick), u, v, pa.array(cols[5], pa.float64())], _FOUND)
+
+    return both.select("id", "h", "first_id", "first_h", "x", "y").mapInArrow(run, _schema(kind))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -434,10 +641,22 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, similar: float = SIMILAR) -> DataFrame:
-    """df with repeated passages removed from all documents but the first of each; all rows and columns stay, texts may become empty."""
-    spans = materialise(repeats(df, id_col, text_col, passage, similar).groupBy(id_col).agg(F.collect_set(F.struct("start", "end")).alias("__spans")), "spans")
-    _release(df)
-    cut = F.udf(lambda text, s: text if s is None else without(text, [(x["start"], x["end"]) for x in s]), "string")
-    joined = df.join(spans.withColumnRenamed(id_col, "__id"), F.col(id_col) == F.col("__id"))
-    whole, other = joined.where("__spans is not null"), df.join(spans.select(F.col(id_col).alias("__id")), F.col(id_col) == F.col("__id"), "left_anti")
-    return whole.withColumn(text_col, cut(F.col(text_col), F.col("__spans"))).select(*df.columns).unionByName(other)
+    """df with repeated passages removed from all documents but the first of each; all rows and columns stay, texts may become empty. Each
+    row is cut by its own text's passages; rows with a null id or text stay as they are, and repeated rows are cut alike."""
+    spans_, key, of = fresh(df, "spans"), fresh(df, "key"), fresh(df, "of")
+    found = _passages(df, id_col, text_col, passage, similar)
+    spans = materialise(found.groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias(spans_)), "spans").select(F.col("id").alias(of), F.col("h").alias(key), spans_)
+    named = F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
+    some = df.where(named).join(spans, (F.col(id_col) == F.col(of)) & (F.xxhash64(text_col) == F.col(key)), "left").select(*df.columns, spans_)
+    nth = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            where = batch.column(batch.num_columns - 1)
+            cols = batch.columns[:-1]
+            if where.null_count < batch.num_rows:
+                texts = [t if s is None else without(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(cols[nth].to_pylist(), where.to_pylist())]
+                cols[nth] = pa.array(texts, cols[nth].type)
+            yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1])
+
+    return some.mapInArrow(run, df.schema).unionByName(df.where(~named))

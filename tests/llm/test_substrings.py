@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from framepack.llm import substrings
 
@@ -86,3 +87,85 @@ def test_lesser_fragments_edited(spark):
         near.add((base + 51, base + 50))
     got = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len({(r["doc_id"], r["first_id"]) for r in got} & near) >= 0.9 * len(near)
+
+
+def found(spark, rows):
+    """Passages by document (id, text)."""
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {r["h"]: r["text"] for r in d.selectExpr("xxhash64(text) h", "text").collect() if r["text"]}
+    out = {}
+    for r in substrings._passages(d, "doc_id", "text", 50, 0.8).collect():
+        out.setdefault((r["id"], text[r["h"]]), []).append((r["start"], r["end"], (r["first_id"], text[r["first_h"]]), r["first_start"], r["first_end"], r["similarity"]))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_all_pairs(spark, seed):
+    """Every run of 50 words that a lesser document has is covered, and what is reported is similar: against all pairs of documents. Fragments,
+    edited passages, copies, repeated lines, one id with several texts, and a line that a third of the documents have."""
+    rng = random.Random(seed)
+    pool = [words(rng, rng.choice([50, 51, 60, 90, 150])) for _ in range(12)]
+    line, rows = words(rng, 30), []
+    for i in range(150):
+        w = words(rng, rng.randint(0, 40))
+        for _ in range(rng.randint(0, 3)):
+            p = list(rng.choice(pool))
+            a = rng.choice([0, 0, rng.randrange(len(p) - 44)])
+            p = p[a : a + rng.choice([30, 45, 49, 50, 200, 200])]
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                p[rng.randrange(len(p))] = f"e{rng.randrange(1 << 30)}"
+            w += p + words(rng, rng.randint(0, 20))
+        if i % 3 == 0:
+            w += line
+        if i % 17 == 0:
+            w += words(rng, 7) * 12
+        rows.append((i if i % 10 else 5, " ".join(w)))
+    rows += [(500, rows[3][1]), (501, rows[3][1]), (502, rows[40][1]), (502, rows[40][1]), (7, None), (None, rows[2][1])]
+    docs = sorted({(i, t) for i, t in rows if i is not None and t}, key=lambda d: (d[0], d[1]))
+    order = {r["text"]: r["h"] for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("xxhash64(text) h", "text").collect()}
+    docs.sort(key=lambda d: (d[0], order[d[1]]))
+    got, seen = found(spark, rows), set()
+    for i, t in docs:
+        w = t.split()
+        runs = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        covered = [(a, b) for a, b, *_ in got.get((i, t), [])]
+        for k, run in enumerate(runs):
+            if run in seen:
+                assert {p for a, b in covered for p in range(a, b)} >= set(range(k, k + 50)), (i, k)
+        seen.update(runs)
+    for (i, t), spans in got.items():
+        for a, b, (j, u), c, e, s in spans:
+            assert (j, order[u]) < (i, order[t]) and 50 <= b - a
+            x, y = (set(hashes(v)) for v in (t.split()[a:b], u.split()[c:e]))
+            assert len(x & y) / len(x | y) >= 0.8 <= s
+    assert sum(len(v) for v in got.values()) > 100
+
+
+def test_edited_in_a_hot_group(spark):
+    """Near copies of one text, edited at many places: whoever has a similar run of 50 words in a lesser text is named, against all pairs."""
+    rng = random.Random(9)
+    base, rows = words(rng, 110), []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randint(2, 6)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(1 << 30)}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"] for r in substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    h = {i: hashes(t.split()) for i, t in rows}
+    want = {i for i in h if any(substrings.passages(h[i], h[j]) for j in range(i))}
+    assert got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_deduplicated_by_text(spark):
+    """Rows of one id are cut by their own passages; null ids and texts, empty tables, and columns named like the operator's own stay."""
+    rng = random.Random(10)
+    p, q = words(rng, 60), words(rng, 55)
+    long = " ".join(words(rng, 40) + p + words(rng, 40))
+    rows = [(1, " ".join(p + q), 1, "a"), (2, long, 2, "b"), (2, "a short row", 3, "c"), (2, " ".join(q + ["tail"]), 4, "d"), (None, long, 5, "e"), (3, None, 6, "f"), (4, long, 7, "g"), (5, "", 8, "h")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, spans long, key string")
+    got = {r["spans"]: r for r in substrings.deduplicated(d).collect()}
+    assert substrings.deduplicated(d).columns == d.columns
+    cut = " ".join(long.split()[:40] + long.split()[100:])
+    assert {k: r["text"] for k, r in got.items()} == {1: rows[0][1], 2: cut, 3: "a short row", 4: "tail", 5: long, 6: None, 7: "", 8: ""}
+    assert [got[k]["key"] for k in range(1, 9)] == list("abcdefgh")
+    assert substrings.deduplicated(d.where("doc_id > 99")).count() == 0
