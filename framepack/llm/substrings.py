@@ -42,8 +42,8 @@ GAP = 2 * SHINGLE
 #: Shingles in a seed: a passage of the least length and similarity has 41 unedited ones in two stretches, so 21 in one, of which as many
 #: lie on one side of any.
 SEED = 10
-#: How many times as many documents that agree around a seed each round looks at, and the members of a block.
-MORE, BLOCK = 8, 512
+#: Documents that agree around a seed that the second round looks at, how many times as many each further one, and the members of a block.
+TAKE, MORE, BLOCK = 4, 32, 512
 
 _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,9 +136,11 @@ def windows(h: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np
 
 
 def signatures(texts: list[str | None], passage: int = PASSAGE) -> tuple[np.ndarray, ...]:
-    """(text, key, function, l, c, r) of all compact windows of the texts; positions are shingles of the text."""
+    """(text, key, function, l, c, r) of all compact windows of the texts; positions are shingles of the text. A text that may hold a passage
+    has a signature as a whole besides, with function -1 and l its number of words."""
     width = passage - SHINGLE + 1
-    s, n = shingle_hashes(*word_hashes(texts))
+    words, counts = word_hashes(texts)
+    s, n = shingle_hashes(words, counts)
     text = np.repeat(np.arange(len(n)), n)
     before = np.cumsum(n) - n
     out = []
@@ -149,7 +151,11 @@ def signatures(texts: list[str | None], passage: int = PASSAGE) -> tuple[np.ndar
     c, key, f, l, r = (np.concatenate(x) for x in zip(*out))
     own = text[c] if len(c) else c
     at = before[own] if len(c) else c
-    return own, key, f, l - at, c - at, r - at
+    long = np.flatnonzero(counts >= passage)
+    ends = np.cumsum(counts)
+    whole = np.array([int(grams(words[b - k : b], int(k))[0]) for b, k in zip(ends[long].tolist(), counts[long].tolist())], dtype=np.uint64)
+    none = np.zeros(len(long), np.int64)
+    return np.append(own, long), np.append(key, mix(whole + np.uint64(FUNCTIONS))), np.append(f, none - 1), np.append(l - at, counts[long]), np.append(c - at, none), np.append(r - at, none)
 
 
 def _indexed(docs: DataFrame, kind: str, passage: int) -> DataFrame:
@@ -418,13 +424,6 @@ def _diagonals(x: np.ndarray, y: np.ndarray, order: np.ndarray):
             yield i[edge[band] : edge[band + 2]], j[edge[band] : edge[band + 2]]
 
 
-def _copies(docs: DataFrame, passage: int) -> DataFrame:
-    """(id, h, n_words, first_id) of the rows whose whole text a row of lesser id has, texts that can hold a passage."""
-    whole = docs.select("id", "h", F.crc32("text").alias("crc"), F.length("text").alias("size"), F.when(F.length("text") >= 2 * passage - 1, F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))).alias("n_words")).where(F.col("n_words") >= passage)
-    some = whole.groupBy("h", "crc", "size").agg(F.min("id").alias("first_id"), F.max("id").alias("last")).where("first_id <> last")
-    return whole.join(some.drop("last"), ["h", "crc", "size"]).where("id <> first_id").select("id", "h", "n_words", "first_id").distinct()
-
-
 def _open(seeds: DataFrame, found: DataFrame) -> DataFrame:
     """The seeds (id, h, pos, ...) that no passage found covers."""
     spans = found.groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("s"))
@@ -435,51 +434,76 @@ def _passages(df: DataFrame, id_col: str, text_col: str, passage: int, similar:
     """Rows as repeats() returns them, with the hashes of the two texts: (id, h, start, end, first_id, first_h, first_start, ...)."""
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).where("id is not null and text is not null")
-    copies = materialise(_copies(docs, passage), "copies")
     index = _indexed(docs, kind, passage)
-    shared = materialise(index.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key"), "shared")
-    members = index.join(shared, "key").join(copies.select("id", "h"), ["id", "h"], "left_anti")
-    members = members.groupBy("id", "h").agg(F.collect_list(F.struct("f", "l", "c", "r")).alias("w")).where(F.size("w") >= OVERLAP)
-    texts = docs.join(members, ["id", "h"]).groupBy("id", "h").agg(F.max("text").alias("text"), F.first("w").alias("w"))
-    texts = materialise(texts, "texts")
+    # What texts of different content have; and whole texts that several rows have, with the least of them.
+    shared = index.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("id").alias("least"), F.max("id").alias("last"), F.min("f").alias("f")).where("if(f < 0, least <> last, a <> b)")
+    shared = materialise(shared.select("key", F.expr("if(f < 0, least, null)").alias("least")), "shared")
+    members = index.join(shared, "key").groupBy("id", "h").agg(F.collect_list(F.expr("if(f < 0, null, struct(f, l, c, r))")).alias("w"), F.max("least").alias("least"), F.max(F.expr("if(f < 0, l, null)")).alias("n_words"))
+    members = materialise(members, "members")
     discard(shared)
+    copies = members.where("least <> id")
+    some = members.where(F.col("least").isNull() | (F.col("least") == F.col("id"))).where(F.size("w") >= OVERLAP)
+    texts = docs.join(some.select("id", "h", "w"), ["id", "h"]).groupBy("id", "h").agg(F.max("text").alias("text"), F.first("w").alias("w"))
+    texts = materialise(texts, "texts")
     places = materialise(_marked(texts, kind, passage), "places")
 
     # Word for word: each run's least document.
     runs = places.where("whole").select("id", "h", "key", "pos")
     firsts = runs.groupBy("key").agg(F.min(F.struct("id", "h", "pos")).alias("first"), F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
-    firsts = firsts.select("key", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"), F.col("first.pos").alias("first_pos"))
+    firsts = materialise(firsts.select("key", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"), F.col("first.pos").alias("first_pos")), "firsts")
     found = materialise(_joined_runs(runs.join(firsts, "key").where("id <> first_id or h <> first_h"), kind, passage, similar), "found")
 
     # Edited: seeds that are left over, with the least document first.
     seeds = places.where("not whole").select("id", "h", "key", "pos")
     often = seeds.groupBy("key").agg(F.min(F.struct("id", "h")).alias("least"), F.count(F.lit(1)).alias("n"), F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
-    rest = _open(seeds.join(often.drop("a", "b"), "key").where("id <> least.id or h <> least.h"), found)
-    rest = materialise(rest.select("id", "h", "key", "pos", "n", F.col("least.id").alias("first_id"), F.col("least.h").alias("first_h")), "rest")
-    pairs = materialise(rest.select(*_PAIR).distinct(), "pairs")
-    tried, rest, take = pairs, rest.where("n > 2").select("id", "h", "key", "pos"), 1
+    often = materialise(often.select("key", "n", F.col("least.id").alias("first_id"), F.col("least.h").alias("first_h")), "often")
+    rest = materialise(_open(seeds.join(often, "key").where("id <> first_id or h <> first_h"), found), "rest")
+    near, rest, take = rest.select(*_PAIR).distinct(), rest.where("n > 2").select("id", "h", "key", "pos"), TAKE
+    tried, large = near, often.where(F.col("n") > BLOCK).select("key", "n")
     while True:
-        edited = materialise(_verified(pairs, texts, kind, passage, similar), "edited")
-        # Passages that lie within one found before are named already.
-        spans = found.groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("s"))
-        edited = edited.join(spans, ["id", "h"], "left").where("s is null or not exists(s, x -> x.start <= start and end <= x.end)")
-        found = found.unionByName(edited.select(*_FOUND))
-        rest = materialise(_open(rest, found), "rest")
+        edited = materialise(_verified(near, texts, kind, passage, similar), "edited")
+        found = found.unionByName(edited)
+        rest = materialise(_open(rest, edited), "rest")
         if rest.isEmpty():
             break
-        near = materialise(_agreeing(rest, seeds, texts, kind, passage, similar, take), "near")
-        pairs = materialise(near.select(*_PAIR).distinct().join(tried, _PAIR, "left_anti"), "pairs")
-        rest = rest.join(near.where("more").select("id", "h", "key").distinct(), ["id", "h", "key"], "left_semi")
-        tried, take = tried.union(pairs), take * MORE
-    whole = copies.select("id", "h", F.lit(0).cast("long").alias("start"), F.col("n_words").cast("long").alias("end"), "first_id", F.col("h").alias("first_h"), F.lit(0).cast("long").alias("first_start"), F.col("n_words").cast("long").alias("first_end"), F.lit(1.0).alias("similarity"))
-    discard(places)
+        agreeing = materialise(_agreeing(rest, seeds, large, texts, kind, passage, similar, take), "near")
+        near = agreeing.select(*_PAIR).distinct().join(tried, _PAIR, "left_anti")
+        rest = rest.join(agreeing.where("more").select("id", "h", "key").distinct(), ["id", "h", "key"], "left_semi")
+        tried, take = tried.union(agreeing.select(*_PAIR)), take * MORE
+    found = materialise(_outermost(found, kind), "passages")
+    whole = copies.select("id", "h", F.lit(0).cast("long").alias("start"), F.col("n_words").cast("long").alias("end"), F.col("least").alias("first_id"), F.col("h").alias("first_h"), F.lit(0).cast("long").alias("first_start"), F.col("n_words").cast("long").alias("first_end"), F.lit(1.0).alias("similarity"))
+    discard(places, firsts, often, texts)
     return found.unionByName(whole)
 
 
 _PAIR = ["id", "h", "first_id", "first_h"]
 
 
-def _agreeing(rest: DataFrame, seeds: DataFrame, texts: DataFrame, kind: str, passage: int, similar: float, take: int) -> DataFrame:
+def _outermost(found: DataFrame, kind: str) -> DataFrame:
+    """The passages that lie within no other passage of their document; of equal ones that of the least first document."""
+
+    def run(batches):
+        last, upto = None, -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            change = _changes(table, ("id", "h"))
+            own = (batch.column(0)[0].as_py(), batch.column(1)[0].as_py())
+            change[0] = own != last
+            end = batch.column(3).to_numpy()
+            # Ends of all documents on one scale, so that a running maximum stays within a document.
+            nth, most = np.cumsum(change), int(end.max()) + max(upto, 0) + 1
+            high = np.maximum.accumulate(np.concatenate([[upto], nth * most + end]))
+            keep = nth * most + end > high[:-1]
+            last, upto = (batch.column(0)[-1].as_py(), batch.column(1)[-1].as_py()), int(high[-1] - nth[-1] * most)
+            yield batch.filter(pa.array(keep))
+
+    order = ["id", "h", "start", F.desc("end"), "first_id", "first_h", "first_start"]
+    return found.repartition("id", "h").sortWithinPartitions(*order).select(*_FOUND).mapInArrow(run, _schema(kind))
+
+
+def _agreeing(rest: DataFrame, seeds: DataFrame, large: DataFrame, texts: DataFrame, kind: str, passage: int, similar: float, take: int) -> DataFrame:
     """(key, id, h, first_id, first_h, more): for each seed of rest(id, h, key, pos) the lesser documents whose surroundings of the seed have
     enough shingles in common with it, the `take` of each group of blocks that have most, and whether there are more."""
     width = passage - SHINGLE + 1
@@ -504,9 +528,7 @@ def _agreeing(rest: DataFrame, seeds: DataFrame, texts: DataFrame, kind: str, pa
                 yield pa.RecordBatch.from_arrays([flat.field(0), part.column(0).take(pick), part.column(1).take(pick), flat.field(2), pa.array(np.maximum(need, SEED // 2).astype(np.int32)), pa.array(around, pa.list_(pa.int32()))], ["key", "id", "h", "wanted", "need", "around"])
 
     around = texts.select("id", "h", "text").join(members, ["id", "h"]).mapInArrow(surroundings, f"key long, id {kind}, h long, wanted boolean, need int, around array<int>")
-    around = materialise(around, "around")
-    large = around.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
-    rows = dealt(around, None if large.isEmpty() else large, "id", BLOCK).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id", "h")
+    rows = dealt(around, large, "id", BLOCK).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id", "h")
 
     def compare(batches):
         for table, starts in groups(batches):
