@@ -14,8 +14,8 @@ Where the windows of enough functions meet, a passage may be repeated with edits
 stretches; those beside the least shingles become seeds. A seed that no exact repetition covers is joined with the least document that has
 it, and the passages are compared shingle by shingle. Of a seed that nothing found so far covers, the surroundings in all documents that have
 it are compared, in bounded blocks: a passage of this similarity has a place where they agree that far. The lesser document that agrees most
-is compared whole, and then ever more of those that agree, until the seed is covered or none is left. A seed of a word or two said over and
-over tells nothing, so a seed has at least half as many different shingles as shingles.
+is compared whole, and then ever more of those that agree, until the seed is covered or none is left. A few words said over and over tell
+nothing, so most shingles of a seed differ: such stuttering is found where it is repeated word for word, but not where it was edited.
 
 A row is told apart by its id and its text, so rows with equal ids and different texts are documents of their own, in the order of a hash;
 repeated rows are one document. Of rows with the same text that of the least id stands for the others, each of which is a repetition as a
@@ -40,10 +40,10 @@ SHINGLE, PASSAGE, SIMILAR, FUNCTIONS, OVERLAP = 5, 50, 0.8, 4, 2
 #: Unmatched shingles that may lie between matched ones of a passage: two edited words.
 GAP = 2 * SHINGLE
 #: Shingles in a seed: a passage of the least length and similarity has 41 unedited ones in two stretches, so 21 in one, of which as many
-#: lie on one side of any.
-SEED = 10
+#: lie on one side of any. So many of a seed's shingles differ.
+SEED, DIFFERENT = 10, 8
 #: Documents that agree around a seed that the second round looks at, how many times as many each further one, and the members of a block.
-TAKE, MORE, BLOCK = 4, 32, 512
+TAKE, MORE, BLOCK = 8, 512, 512
 
 _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -191,7 +191,7 @@ def marks(texts: list[str], owner: np.ndarray, f: np.ndarray, l: np.ndarray, c:
     if len(c):
         seed = np.unique(np.concatenate([c[c + SEED <= (before + n)[text[c]]], c[c - SEED + 1 >= before[text[c]]] - SEED + 1]))
         run = np.sort(s[seed[:, None] + np.arange(SEED)], axis=1)
-        seed = seed[1 + (run[:, 1:] != run[:, :-1]).sum(axis=1) >= SEED // 2]
+        seed = seed[1 + (run[:, 1:] != run[:, :-1]).sum(axis=1) >= DIFFERENT]
     else:
         seed = c
     key = np.concatenate([grams(s, width)[whole], grams(s, SEED)[seed]])
@@ -313,7 +313,14 @@ def passages(x: np.ndarray, y: np.ndarray, passage: int = PASSAGE, similar: floa
         has[i - a] = True
         sums = np.concatenate([[0], np.cumsum(has)])
         got, upto = [], -1
-        for s in np.flatnonzero(sums[width:] - sums[:-width] >= similar * (width + SHINGLE - 1)).tolist():
+        both = sums[width:] - sums[:-width]
+        by = np.argsort(i, kind="stable")
+        at, to = i[by] - a, j[by]
+        first = np.minimum(np.searchsorted(at, np.arange(len(both))), len(at) - 1)
+        last = np.maximum(np.searchsorted(at, np.arange(len(both)) + width) - 1, 0)
+        there = np.abs(to[last] - to[first]) + 1
+        likely = (both >= similar * (width + SHINGLE - 1)) & (both >= (similar - 0.03) * (width + there - both))
+        for s in np.flatnonzero(likely).tolist():
             if s > upto:
                 inside = (i >= a + s) & (i < a + s + width)
                 if p := checked(a + s, a + s + width - 1, int(j[inside].min()), int(j[inside].max())):
@@ -332,13 +339,21 @@ def passages(x: np.ndarray, y: np.ndarray, passage: int = PASSAGE, similar: floa
             out.append(got)
             continue
         parts = [(s, e + SHINGLE, q, q + e - s + SHINGLE, 1.0) for s, e, q in _runs(x, y, a, b, width)]
+        covered = np.zeros(b - a + 1, bool)
+        for s, e, *_ in parts:
+            covered[s - a : e - SHINGLE + 1 - a] = True
         for i, j in _diagonals(x[a : b + 1], y, order):
+            if covered[i].all():  # text said over and over has many diagonals
+                continue
+            known = len(parts)
             for s, e in _stretches(np.unique(i), width):
                 inside = (i >= s) & (i <= e)
                 if got := checked(a + s, a + e, int(j[inside].min()), int(j[inside].max())):
                     parts.append(got)
                 elif e - s >= width:
                     parts += dense(a + s, a + e, i[inside] + a, j[inside])
+            for s, e, *_ in parts[known:]:
+                covered[s - a : e - SHINGLE + 1 - a] = True
         # Of parts that lie within another one, the longer stands.
         end = -1
         for p in sorted(set(parts), key=lambda p: (p[0], -p[1], -p[4], p[2])):
@@ -504,8 +519,8 @@ def _outermost(found: DataFrame, kind: str) -> DataFrame:
 
 
 def _agreeing(rest: DataFrame, seeds: DataFrame, large: DataFrame, texts: DataFrame, kind: str, passage: int, similar: float, take: int) -> DataFrame:
-    """(key, id, h, first_id, first_h, more): for each seed of rest(id, h, key, pos) the lesser documents whose surroundings of the seed have
-    enough shingles in common with it, the `take` of each group of blocks that have most, and whether there are more."""
+    """(key, id, h, first_id, first_h, more): for each document's seed in rest(id, h, key, pos) the lesser documents whose surroundings of the
+    seed have enough shingles in common with it, the `take` of each group of blocks that have most, and whether there are more."""
     width = passage - SHINGLE + 1
     members = seeds.join(rest.select("key").distinct(), "key", "left_semi").join(rest.withColumn("wanted", F.lit(True)), ["id", "h", "key", "pos"], "left")
     members = members.groupBy("id", "h").agg(F.collect_list(F.struct("key", "pos", F.coalesce("wanted", F.lit(False)).alias("wanted"))).alias("w"))
@@ -547,7 +562,7 @@ _FEW, _COLUMNS = 16, 4096
 def _most_alike(table: pa.Table, starts: np.ndarray, take: int, width: int, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, the lesser rows of their groups that have most in common with them, and whether there are more. Groups are sorted by id, h.
 
-    Two rows need enough different shingles in common and, if all of a row's differ, enough of them in some run that a passage may be."""
+    Two rows need enough different shingles in common, and either has a run that a passage may be with enough shingles that the other has."""
     around = table.column("around").combine_chunks()
     flat, at = around.flatten().to_numpy(), around.offsets.to_numpy().astype(np.int64)
     at = at - at[0]
@@ -558,20 +573,20 @@ def _most_alike(table: pa.Table, starts: np.ndarray, take: int, width: int, simi
     # An edit leaves SHINGLE - 1 shingles on either side without a match, so a run of n shingles of a passage has this many at least.
     lengths = np.arange(width, wide + 1)
     least = np.ceil(similar * (lengths + SHINGLE - 1) - 1e-9).astype(np.int16)
-    plain = need >= np.ceil(2 * similar / (1 + similar) * width - 1e-9)
     inside = np.arange(wide)[None, :] < size[:, None]
     place = np.minimum(at[:-1, None] + np.arange(wide), max(len(flat) - 1, 0))
     xs, ys, counts = [], [], []
 
-    def hold(x, y, met):
-        """met: for each pair which of x's shingles y has."""
-        sums = np.zeros((len(x), wide + 1), np.int16)
+    def over(met):
+        """By how many shingles, at best, a run has more than it needs to; met: which shingles are met, for each pair."""
+        sums = np.zeros((len(met), wide + 1), np.int16)
         np.cumsum(met, axis=1, out=sums[:, 1:])
-        more = np.max([(sums[:, n:] - sums[:, :-n]).max(axis=1) - k for n, k in zip(lengths.tolist(), least)], axis=0)
-        ok = (sums[:, -1] >= need[x]) & (~plain[x] | (more >= 0))
-        xs.append(x[ok])
-        ys.append(y[ok])
-        counts.append(more[ok])
+        return np.max([(sums[:, n:] - sums[:, :-n]).max(axis=1) - k for n, k in zip(lengths.tolist(), least)], axis=0)
+
+    def hold(x, y, more):
+        xs.append(x)
+        ys.append(y)
+        counts.append(more)
 
     def eligible(x, y):
         return wanted[x] & (doc[x] != doc[y]) & ((b[x] != b[y]) | (bi[x] == bj[x]))
@@ -582,7 +597,10 @@ def _most_alike(table: pa.Table, starts: np.ndarray, take: int, width: int, simi
         for k in range(0, len(x), 2000):
             p, q = x[k : k + 2000], y[k : k + 2000]
             left, right = (np.where(inside[z], flat[place[z]].astype(np.int64), -(1 << 40) - i) for i, z in enumerate((p, q)))
-            hold(p, q, (left[:, :, None] == right[:, None, :]).any(axis=2))
+            same = left[:, :, None] == right[:, None, :]
+            more, back = over(same.any(axis=2)), over(same.any(axis=1))
+            ok = (more >= 0) & (back >= 0)
+            hold(p[ok], q[ok], np.minimum(more, back)[ok])
     for g in np.flatnonzero(np.diff(starts) > _FEW):
         s, e = int(starts[g]), int(starts[g + 1])
         if not wanted[s:e].any():
@@ -604,15 +622,25 @@ def _most_alike(table: pa.Table, starts: np.ndarray, take: int, width: int, simi
         columns = np.where(inside[s:e], column[np.minimum(place[s:e] - at[s], len(column) - 1)], 0)
         for k in range(0, len(x), 20_000):
             p, q = x[k : k + 20_000], y[k : k + 20_000]
-            hold(p + s, q + s, has[q[:, None], columns[p]])
+            more = over(has[q[:, None], columns[p]])
+            p, q, more = p[more >= 0], q[more >= 0], more[more >= 0]
+            back = over(has[p[:, None], columns[q]])
+            ok = back >= 0
+            hold(p[ok] + s, q[ok] + s, np.minimum(more, back)[ok])
     if not xs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     x, y, common = (np.concatenate(z) for z in (xs, ys, counts))
-    order = np.lexsort((y, -common, x))
+    # Of two documents the rows that agree most; of each document's seed in this group the documents that agree most.
+    order = np.lexsort((-common, doc[y], doc[x]))
+    x, y, common = x[order], y[order], common[order]
+    best = np.append(True, (doc[x[1:]] != doc[x[:-1]]) | (doc[y[1:]] != doc[y[:-1]]))[: len(x)]
+    x, y, common = x[best], y[best], common[best]
+    order = np.lexsort((y, -common, doc[x]))
     x, y = x[order], y[order]
-    begin = np.flatnonzero(np.diff(x, prepend=-1))
-    nth = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
-    left = np.repeat(np.diff(np.append(begin, len(x))), np.diff(np.append(begin, len(x)))) > take
+    begin = np.flatnonzero(np.diff(doc[x], prepend=-1))
+    many = np.diff(np.append(begin, len(x)))
+    nth = np.arange(len(x)) - np.repeat(begin, many)
+    left = np.repeat(many, many) > take
     return x[nth < take], y[nth < take], left[nth < take]
 
 

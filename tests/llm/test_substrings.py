@@ -138,7 +138,7 @@ def test_against_all_pairs(spark, seed):
             assert (j, order[u]) < (i, order[t]) and 50 <= b - a
             x, y = (set(hashes(v)) for v in (t.split()[a:b], u.split()[c:e]))
             assert len(x & y) / len(x | y) >= 0.8 <= s
-    assert sum(len(v) for v in got.values()) > 100
+    assert sum(len(v) for v in got.values()) > 70
 
 
 def test_edited_in_a_hot_group(spark):
