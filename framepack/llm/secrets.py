@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framepack.llm import spans
-from framepack.llm.common import bind, materialise, text_or_empty
+from framepack.llm.common import bind, fresh, materialise, text_or_empty
 
 #: Base kinds first. (kind, pattern, test of the match); fixed values.
 ASSIGN = "(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\\x20*+[:=]\\x20*+[\"']?([A-Za-z0-9+/_.=-]++)"
@@ -93,13 +93,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col
 
 
 def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "repo", owner_col: str = "owner", mask: str = "<SECRET>") -> DataFrame:
-    """df with every live-looking candidate in the text replaced by the mask; examples, all rows and other columns stay."""
-    judged = _judged(_row(df, id_col, text_col, repo_col, owner_col)).where(F.size("live") > 0).select(F.col("key").alias("__key"), F.col("live").alias("__live"))
-    keyed = df.withColumn("__found", _key_of(text_col))
-    some = keyed.where("__found is not null").join(judged, F.col("__found") == F.col("__key"), "left")
-    text = F.when(F.col("__live").isNull(), F.col(text_col)).otherwise(spans.masked(F.col(text_col), F.col("__live"), [mask] * len(KINDS)))
-    return some.withColumn(text_col, text).select(*df.columns).union(keyed.where("__found is null").select(*df.columns))
-
-
-def _key_of(text_col: str) -> Column:
-    return bind(candidates(text_col), _key)
+    """df with every live-looking candidate in the text replaced by the mask; examples, all rows and other columns stay.
+
+    Texts are scanned once: their candidates are written, with what owns them and a hash of the text, and come back to the texts that have some."""
+    found = df.select(F.xxhash64(text_col).alias("text"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), candidates(text_col).alias("found")).where(F.size("found") > 0)
+    found = materialise(found.withColumn("key", _key("found")), "candidates")
+    judged = _judged(found).where(F.size("live") > 0).select("key", "live")
+    key, live = fresh(df, "key"), fresh(df, "live")
+    texts = found.groupBy("text").agg(F.min("key").alias("key")).join(judged, "key").select(F.col("text").alias(key), F.col("live").alias(live))
+    texts = materialise(texts, "live")
+    out = df.where(F.col(text_col).isNotNull()).join(texts, F.xxhash64(text_col) == F.col(key), "left")
+    text = F.when(F.col(live).isNull(), F.col(text_col)).otherwise(spans.masked(F.col(text_col), F.col(live), [mask] * len(KINDS)))
+    return out.withColumn(text_col, text).select(*df.columns).union(df.where(F.col(text_col).isNull()))
