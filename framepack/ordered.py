@@ -7,27 +7,22 @@ previous values and running sums are then computed within ranges and corrected b
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
-from tempfile import mkdtemp
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framepack.folders import new_path
+
 #: Tables up to this many rows are ordered by one window.
 SMALL = 200_000
 
 
 def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + mkdtemp(prefix="framepack-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/ordered-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "ordered")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @dataclass(frozen=True)

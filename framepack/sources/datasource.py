@@ -1,22 +1,31 @@
 """The data source 'framepack': spark.read.format("framepack").load(path) and df.write.format("framepack").save(path).
 
-A document is a file; each file is read by one task and each task writes one file. The schema comes from the first document's header, or is
-given. Paths are folders or files that the executors reach themselves.
+A document is a file; each file is read by one task, and a task writes a file for every ROWS rows, so neither holds more than one document.
+Every write has names of its own: appends add to what is there, and an overwrite deletes the older files once the new ones are complete. The
+schema comes from the first document, or is given. Paths of the format are folders or files that all machines mount; save() and load() go
+through Spark's own readers and writers instead, to any store that Spark reaches.
 """
 
 from __future__ import annotations
 
+import decimal
+import itertools
 import os
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from framepack.errors import ParseError
 from framepack.sources.grammar import decode
 from framepack.sources.writer import encode_value
 
+#: Rows in a document.
+ROWS = 100_000
 #: Spark's type for each logical one.
 SPARK_TYPES = {"u8": T.ShortType(), "u16": T.IntegerType(), "u32": T.LongType(), "u64": T.DecimalType(20, 0), "i8": T.ByteType(), "i16": T.ShortType(), "i32": T.IntegerType(), "i64": T.LongType(), "f32": T.DoubleType(), "f64": T.DoubleType(), "bool": T.BooleanType()}
 
@@ -94,56 +103,100 @@ def _cast(v, kind: T.DataType):
         return None
     if isinstance(kind, T.DoubleType):
         return float(v)
+    if isinstance(kind, T.DecimalType):
+        return decimal.Decimal(str(v))
     if isinstance(kind, T.StringType) and not isinstance(v, str):
         return str(v)
     return v
 
 
 class _Done(WriterCommitMessage):
-    def __init__(self, path: str | None):
-        self.path = path
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, options: dict, names: list[str]):
-        self.path, self.name, self.names = options["path"].removeprefix("file://"), options.get("name", "rows"), names
+    def __init__(self, options: dict, names: list[str], overwrite: bool):
+        self.path, self.name, self.names, self.overwrite = options["path"].removeprefix("file://"), options.get("name", "rows"), names, overwrite
+        self.rows, self.run = int(options.get("rows", ROWS)), uuid.uuid4().hex
         os.makedirs(self.path, exist_ok=True)
 
     def write(self, iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        rows = [{n: _plain(v) for n, v in zip(self.names, r)} for r in iterator]
-        if not rows:
-            return _Done(None)
         context = TaskContext.get()
-        target = os.path.join(self.path, f"part-{context.partitionId():05d}.fp")
-        temporary = f"{target}.{context.taskAttemptId()}"
-        with open(temporary, "w", encoding="utf-8") as f:
-            f.write(encode_value({self.name: rows}))
-        os.replace(temporary, target)  # a task that runs again leaves the same file
-        return _Done(target)
+        paths = []
+        rows = ({n: _plain(v) for n, v in zip(self.names, r)} for r in iterator)
+        while part := list(itertools.islice(rows, self.rows)):
+            # Hidden until the commit, and another file for another attempt.
+            paths.append(os.path.join(self.path, f".part-{context.partitionId():05d}-{len(paths):05d}-{self.run}-{context.taskAttemptId()}"))
+            with open(paths[-1], "w", encoding="utf-8") as f:
+                f.write(encode_value({self.name: part}))
+        return _Done(paths)
 
     def commit(self, messages) -> None:
+        old = _files(self.path) if self.overwrite else []
+        for path in (p for m in messages if m for p in m.paths):
+            part = os.path.basename(path)[1:].rpartition("-")[0]
+            os.replace(path, os.path.join(self.path, f"{part}.fp"))
+        for path in old:
+            os.remove(path)
+        self._sweep()
         with open(os.path.join(self.path, "_SUCCESS"), "w"):
             pass
 
     def abort(self, messages) -> None:
-        for m in messages:
-            if m and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+        self._sweep()
+
+    def _sweep(self) -> None:
+        """Deletes what attempts of this write have left; other writes' files are not touched."""
+        for f in os.listdir(self.path):
+            if f.startswith(".part-") and f"-{self.run}-" in f:
+                os.remove(os.path.join(self.path, f))
 
 
 def _plain(v):
     import datetime
-    import decimal
 
     if isinstance(v, decimal.Decimal):
-        return int(v) if v == v.to_integral_value() else float(v)
+        if v == v.to_integral_value():
+            return int(v)
+        return float(v) if decimal.Decimal(repr(float(v))) == v else str(v)  # digits that a double has not stay, as text
     return v.isoformat() if isinstance(v, (datetime.date, datetime.datetime)) else v
 
 
+def save(df: DataFrame, path: str, name: str = "rows", mode: str = "errorifexists", rows: int = ROWS) -> None:
+    """Writes df as documents of at most `rows` rows, a text file each, with Spark's text writer."""
+    names = df.columns
+
+    def run(batches):
+        every = ({n: _plain(v) for n, v in zip(names, r.values())} for batch in batches for r in batch.to_pylist())
+        while part := list(itertools.islice(every, rows)):
+            yield pa.RecordBatch.from_arrays([pa.array([encode_value({name: part})], pa.string())], ["value"])
+
+    df.mapInArrow(run, "value string").write.mode(mode).option("maxRecordsPerFile", 1).text(path)
+
+
+def load(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """The rows of the documents under a path that Spark reads; the schema is that of some document if none is given."""
+    texts = spark.read.text(path, wholetext=True)
+    if schema is None:
+        one = texts.where("value <> ''").first()
+        schema = schema_of(rows_of(decode(one["value"]))) if one else T.StructType()
+    fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    found = rows_of(decode(text))
+                    yield pa.RecordBatch.from_arrays([pa.array([_cast(r.get(f.name), f.dataType) for r in found], type=to_arrow_type(f.dataType)) for f in fields], [f.name for f in fields])
+
+    return texts.mapInArrow(run, T.StructType(fields))
+
+
 class FramepackSource(DataSource):
-    """Options: path; name, the table's name when writing."""
+    """Options: path; when writing also name, the table's name, and rows, those of a document at most."""
 
     @classmethod
     def name(cls) -> str:
@@ -156,7 +209,7 @@ class FramepackSource(DataSource):
         return _Reader(schema, dict(self.options))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(dict(self.options), schema.names)
+        return _Writer(dict(self.options), schema.names, overwrite)
 
 
 def register(spark: SparkSession) -> None:

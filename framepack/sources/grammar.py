@@ -35,7 +35,13 @@ class Token(NamedTuple):
 
 def tokenize(text: str) -> list[Token]:
     """The tokens of a text, white space and comments left out; positions count from 1. An end token closes the list."""
+    return scanned(text)[0]
+
+
+def scanned(text: str) -> tuple[list[Token], set[int]]:
+    """The tokens, and which of them follow white space with a tab."""
     out, at, line, start = [], 0, 1, 0
+    tabs: set[int] = set()
     while at < len(text):
         m = _TOKEN.match(text, at)
         if not m:
@@ -44,11 +50,13 @@ def tokenize(text: str) -> list[Token]:
         if kind not in ("SPACE", "COMMENT"):
             name = "BOOLEAN" if kind == "WORD" and value in ("true", "false") else "NULL" if kind == "WORD" and value == "null" else kind
             out.append(Token(name, unescaped(value[1:-1]) if kind == "STRING" else value, line, at - start + 1))
+        elif kind == "SPACE" and "\t" in value:
+            tabs.add(len(out))
         if n := value.count("\n"):
             line, start = line + n, at + value.rindex("\n") + 1
         at = m.end()
     out.append(Token("END", "", line, at - start + 1))
-    return out
+    return out, tabs
 
 
 def unescaped(body: str) -> str:
@@ -120,7 +128,8 @@ class Parser:
     """Recursive descent over the tokens of one document."""
 
     def __init__(self, text: str):
-        self.tokens, self.at = tokenize(text), 0
+        self.tokens, self.tabs = scanned(text)
+        self.at, self.delimiter = 0, "|"
 
     # -- tokens ------------------------------------------------------------------------------------------------------------------
 
@@ -214,11 +223,18 @@ class Parser:
 
     def _delimited(self, one) -> list:
         out = [one()]
-        self.delimiter = self.now.value if self.now.value in ("|", ",") and self.now.type == "MARK" else "|"
-        while self.got(self.delimiter):
+        self.delimiter = self.now.value if self.now.value in ("|", ",") and self.now.type == "MARK" else "\t" if self._tabbed() else "|"
+        while self._next():
             out.append(one())
         return out
 
+    def _tabbed(self) -> bool:
+        return self.at in self.tabs and self.now.type not in ("NEWLINE", "END")
+
+    def _next(self) -> bool:
+        """Goes past a delimiter, if one follows; a tab is no token of its own."""
+        return self._tabbed() if self.delimiter == "\t" else self.got(self.delimiter)
+
     def _rows(self, n: int) -> list[dict]:
         """The compact layout: typed header, directives for compressed columns, rows."""
         fields = self._delimited(self._field) if self.now.type not in ("NEWLINE", "END") else []
@@ -253,7 +269,7 @@ class Parser:
                 out.append(None)
             else:
                 out.append(self.value())
-            if not self.got(getattr(self, "delimiter", "|")):
+            if not self._next():
                 break
         if len(out) != width:
             raise ParseError(f"{len(out)} cells, not {width}", self.now.line, self.now.column)

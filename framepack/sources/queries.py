@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framepack.folders import new_path
 from framepack.sources import datasource, documents, writer, xml
 from framepack.streaming import blocks
 
@@ -120,12 +121,37 @@ def roundtrip_sparse_events(spark, sf_dir):
 @query("SELECT p_partkey, p_name, p_size::BIGINT AS p_size, p_retailprice FROM part")
 def datasource_roundtrip_part(spark, sf_dir):
     datasource.register(spark)
-    path = tempfile.mkdtemp(prefix="framepack-")
+    path = new_path(spark, "query")
     df = _table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_size").cast("long"), "p_retailprice")
     df.write.format("framepack").mode("append").save(path)
     return spark.read.format("framepack").schema("p_partkey long, p_name string, p_size long, p_retailprice double").load(path)
 
 
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey + 100, n_name FROM nation WHERE n_regionkey = 1")
+def datasource_append_nation(spark, sf_dir):
+    datasource.register(spark)
+    path, df = new_path(spark, "query"), _table(spark, sf_dir, "nation")
+    df.select("n_nationkey", "n_name").repartition(3).write.format("framepack").mode("append").save(path)
+    df.where("n_regionkey = 1").select((F.col("n_nationkey") + 100).alias("n_nationkey"), "n_name").write.format("framepack").mode("append").save(path)
+    return spark.read.format("framepack").schema("n_nationkey long, n_name string").load(path)
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey % 2 = 0")
+def datasource_overwrite_supplier(spark, sf_dir):
+    datasource.register(spark)
+    path, df = new_path(spark, "query"), _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    df.repartition(4).write.format("framepack").mode("append").save(path)
+    df.where("s_suppkey % 2 = 0").coalesce(1).write.format("framepack").mode("overwrite").save(path)
+    return spark.read.format("framepack").schema("s_suppkey long, s_name string, s_acctbal double").load(path)
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def documents_roundtrip_customer(spark, sf_dir):
+    path = new_path(spark, "query")
+    datasource.save(_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), path, "customer", rows=100)
+    return datasource.load(spark, path, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string")
+
+
 @query("SELECT conv_id, count(*) AS turns, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY 1")
 def nested_roundtrip_conversations(spark, sf_dir):
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["text"].alias("text")))
@@ -192,21 +218,21 @@ def directives_nation(spark, sf_dir):
 
 @query("SELECT page_id, html FROM pages")
 def json_scan_pages(spark, sf_dir):
-    path = tempfile.mkdtemp(prefix="framepack-")
+    path = new_path(spark, "query")
     _table(spark, sf_dir, "pages").select("page_id", "html").write.mode("overwrite").json(path)
     return spark.read.schema("page_id long, html string").json(path)
 
 
 def _streamed(spark, sf_dir, columns: list[str]) -> DataFrame:
     df = _table(spark, sf_dir, "events").select(*columns)
-    path = tempfile.mkdtemp(prefix="framepack-")
+    path = new_path(spark, "query")
     df.repartition(3).write.mode("overwrite").parquet(path)
     return spark.readStream.schema(df.schema).parquet(path)
 
 
 def _run(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
-    name = "t" + next(tempfile._get_candidate_names())
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", tempfile.mkdtemp(prefix="framepack-")).trigger(availableNow=True).start()
+    name = "t" + uuid.uuid4().hex
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", new_path(spark, "query")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 
@@ -231,8 +257,8 @@ def streaming_windows_events(spark, sf_dir):
 
 @query("SELECT count(*) AS n FROM events")
 def streaming_blocks_events(spark, sf_dir):
-    out = tempfile.mkdtemp(prefix="framepack-")
-    q = blocks.encode_batches(_streamed(spark, sf_dir, ["event_id", "event_type", "value"]), out, ["event_id"], tempfile.mkdtemp(prefix="framepack-"), "events")
+    out = new_path(spark, "query")
+    q = blocks.encode_batches(_streamed(spark, sf_dir, ["event_id", "event_type", "value"]), out, ["event_id"], new_path(spark, "query"), "events")
     q.awaitTermination()
     read = spark.read.text(out, wholetext=True).where("value <> ''").select(documents.decoded_json(F.col("value")).alias("j"))
     return read.agg(F.sum(F.size(F.from_json("j", "events array<struct<event_id:long>>").getField("events"))).cast("long").alias("n"))
