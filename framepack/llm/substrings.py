@@ -43,7 +43,7 @@ GAP = 2 * SHINGLE
 #: lie on one side of any. So many of a seed's shingles differ.
 SEED, DIFFERENT = 10, 8
 #: Documents that agree around a seed that the second round looks at, how many times as many each further one, and the members of a block.
-TAKE, MORE, BLOCK = 8, 512, 512
+TAKE, MORE, BLOCK = 2, 16, 512
 
 _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -562,7 +562,7 @@ _FEW, _COLUMNS = 16, 4096
 def _most_alike(table: pa.Table, starts: np.ndarray, take: int, width: int, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, the lesser rows of their groups that have most in common with them, and whether there are more. Groups are sorted by id, h.
 
-    Two rows need enough different shingles in common, and either has a run that a passage may be with enough shingles that the other has."""
+    Two rows need enough different shingles in common, and runs that have enough of each other's to be similar, as far as places tell."""
     around = table.column("around").combine_chunks()
     flat, at = around.flatten().to_numpy(), around.offsets.to_numpy().astype(np.int64)
     at = at - at[0]
@@ -570,18 +570,39 @@ def _most_alike(table: pa.Table, starts: np.ndarray, take: int, width: int, simi
     doc = np.cumsum(_changes(table, ("key", "bi", "bj", "id", "h")))
     size = np.diff(at)
     wide = max(int(size.max()) if len(size) else 0, width)
-    # An edit leaves SHINGLE - 1 shingles on either side without a match, so a run of n shingles of a passage has this many at least.
-    lengths = np.arange(width, wide + 1)
-    least = np.ceil(similar * (lengths + SHINGLE - 1) - 1e-9).astype(np.int16)
+    lengths = np.arange(width, wide + 1, 2)
     inside = np.arange(wide)[None, :] < size[:, None]
     place = np.minimum(at[:-1, None] + np.arange(wide), max(len(flat) - 1, 0))
     xs, ys, counts = [], [], []
 
-    def over(met):
-        """By how many shingles, at best, a run has more than it needs to; met: which shingles are met, for each pair."""
-        sums = np.zeros((len(met), wide + 1), np.int16)
-        np.cumsum(met, axis=1, out=sums[:, 1:])
-        return np.max([(sums[:, n:] - sums[:, :-n]).max(axis=1) - k for n, k in zip(lengths.tolist(), least)], axis=0)
+    def met(m):
+        """The most shingles met in a run of each of the lengths; m: which shingles are met, for each pair."""
+        sums = np.zeros((len(m), wide + 1), np.int16)
+        np.cumsum(m, axis=1, out=sums[:, 1:])
+        return np.stack([(sums[:, n:] - sums[:, :-n]).max(axis=1) for n in lengths.tolist()], axis=1)
+
+    # An edit leaves SHINGLE - 1 shingles on either side without a match, so a run of n shingles of a passage has this many at least.
+    least = np.ceil(similar * (lengths + SHINGLE - 1) - 1e-9)
+
+    def alike(here, there):
+        """The greatest similarity that runs of lengths up to GAP apart may have, as they meet each other's shingles."""
+        best = np.zeros(len(here))
+        for i, n in enumerate(lengths.tolist()):
+            for k in range(max(0, i - GAP // 2), min(len(lengths), i + GAP // 2 + 1)):
+                both = np.minimum(here[:, i], there[:, k]).astype(np.float32)
+                np.maximum(best, both / (n + int(lengths[k]) - both), out=best)
+        return best
+
+    def judged(p, q, forth, back):
+        """Of pairs those that may share a passage, and how similar it may be; forth and back give met() of the pairs asked for."""
+        here = forth(p, q)
+        ok = (here >= least).any(axis=1)
+        p, q, here = p[ok], q[ok], here[ok]
+        there = back(p, q)
+        ok = (there >= least).any(axis=1)
+        p, q, j = p[ok], q[ok], alike(here[ok], there[ok])
+        ok = j >= similar - 0.01  # every other length is looked at
+        return p[ok], q[ok], j[ok]
 
     def hold(x, y, more):
         xs.append(x)
@@ -598,9 +619,11 @@ def _most_alike(table: pa.Table, starts: np.ndarray, take: int, width: int, simi
             p, q = x[k : k + 2000], y[k : k + 2000]
             left, right = (np.where(inside[z], flat[place[z]].astype(np.int64), -(1 << 40) - i) for i, z in enumerate((p, q)))
             same = left[:, :, None] == right[:, None, :]
-            more, back = over(same.any(axis=2)), over(same.any(axis=1))
-            ok = (more >= 0) & (back >= 0)
-            hold(p[ok], q[ok], np.minimum(more, back)[ok])
+            here, there = met(same.any(axis=2)), met(same.any(axis=1))
+            ok = (here >= least).any(axis=1) & (there >= least).any(axis=1)
+            j = alike(here[ok], there[ok])
+            ok, j = np.flatnonzero(ok)[j >= similar - 0.01], j[j >= similar - 0.01]
+            hold(p[ok], q[ok], j)
     for g in np.flatnonzero(np.diff(starts) > _FEW):
         s, e = int(starts[g]), int(starts[g + 1])
         if not wanted[s:e].any():
@@ -622,11 +645,8 @@ def _most_alike(table: pa.Table, starts: np.ndarray, take: int, width: int, simi
         columns = np.where(inside[s:e], column[np.minimum(place[s:e] - at[s], len(column) - 1)], 0)
         for k in range(0, len(x), 20_000):
             p, q = x[k : k + 20_000], y[k : k + 20_000]
-            more = over(has[q[:, None], columns[p]])
-            p, q, more = p[more >= 0], q[more >= 0], more[more >= 0]
-            back = over(has[p[:, None], columns[q]])
-            ok = back >= 0
-            hold(p[ok] + s, q[ok] + s, np.minimum(more, back)[ok])
+            p, q, j = judged(p, q, lambda p, q: met(has[q[:, None], columns[p]]), lambda p, q: met(has[p[:, None], columns[q]]))
+            hold(p + s, q + s, j)
     if not xs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     x, y, common = (np.concatenate(z) for z in (xs, ys, counts))
