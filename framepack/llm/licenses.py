@@ -1,12 +1,14 @@
 """Licence scan with a positional index of rare words. Built-in expressions only.
 
-Templates are short licence passages, each with the phrases that it must contain. A first pass counts in how many files each template word
-occurs; a template is indexed by its rarest words (highest inverse document frequency), and each posting says where in which template the
-word stands. A file's words that have postings are looked up; the differences of position propose where a template would begin, the words
-at those places are compared, and a template is reported where the weight of matching words is high enough and a mandatory phrase stands
-in its place. Templates that are nothing but a mandatory phrase are thus found at every place, whatever words are rare.
-
-Words are runs of letters, digits and non-ASCII characters, A-Z in lower case. A null text has none.
+Templates are licence passages, each with phrases of which one must stand in its place. A first pass counts in how many files each template
+word occurs. A template is indexed by its rarest words (highest inverse document frequency): as many that a place without any two of them
+cannot reach the share of weight that is asked for. Each posting says where in which template a word stands. A file's words that have postings
+are looked up, and each posting proposes where its template would begin; where two agree, the postings intersect by relative position and the
+words at those places are compared. A template is reported where the weight of matching words is high enough and a mandatory phrase stands in
+its place, so every such place is found, whatever words are rare. Templates that are nothing but a mandatory phrase must match as a whole.
+
+Words are runs of letters, digits and non-ASCII characters, A-Z in lower case. A null text has none. Rows with equal texts get equal results;
+of templates with one label any counts, and ties of weight go to the word that stands first.
 """
 
 from __future__ import annotations
@@ -57,13 +59,32 @@ TEMPLATES = (
     Template("cc-by", "creative commons attribution"),
     Template("cc0", "cc0 1 0 universal"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("free software you can redistribute it", "published by the free software foundation")),
+    Template("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ("distributed in the hope that it will be useful", "implied warranty of merchantability")),
+    Template("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("distributed on an as is basis", "warranties or conditions of any kind")),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code", "this list of conditions")),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products", "nor the names of its contributors")),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("copies or substantial portions of the software", "this permission notice shall be included")),
+    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("source code form is subject", "mozilla public license v 2 0")),
 )
-#: Words by which a template is indexed, and the share of its weight that must match.
-ANCHORS, SHARE = 3, 0.8
+#: The share of a template's weight that must match, and postings that must agree.
+SHARE, AGREE = 0.8, 2
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
+    return F.filter(F.split(F.translate(text, UPPER, LOWER), NOT_WORD), lambda w: w != "")
+
+
+def anchors(template: Template, idf: dict[str, float]) -> list[int]:
+    """The places in a template whose words index it, rarest first: without all but one of them too little weight is left. A template that
+    must match as a whole needs no more than AGREE."""
+    order = sorted(range(len(template.words)), key=lambda i: (-idf[template.words[i]], i))
+    weight = [idf[template.words[i]] for i in order]
+    n = AGREE
+    while template.mandatory and n < len(order) and sum(weight[:n]) - weight[0] <= (1 - SHARE) * sum(weight) + 1e-6:
+        n += 1
+    return order[:n]
 
 
 def document_frequencies(df: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -82,48 +103,52 @@ def scan(df: DataFrame, text_col: str = "text", into: str = "license", templates
     total = df.count()
     seen = {r["word"]: r["df"] for r in document_frequencies(df, text_col, templates).collect()}  # at most the templates' words
     idf = {w: math.log((1 + total) / (1 + seen.get(w, 0))) + 1 for t in templates for w in t.words}
-    postings = [(t, sorted({w: i for i, w in reversed(list(enumerate(t.words)))}.items(), key=lambda x: (-idf[x[0]], x[1]))[: ANCHORS if t.mandatory else 1]) for t in templates]
-    anchors = F.array(*[F.lit(w) for w in sorted({w for _, p in postings for w, _ in p})])
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for n, t in enumerate(templates):
+        for at in anchors(t, idf):
+            postings.setdefault(t.words[at], []).append((n, at))
+    array = lambda xs: F.array(*[F.lit(x) for x in xs])
+    rare = array(sorted(postings))
+    index = F.create_map(*[x for w in sorted(postings) for x in (F.lit(w), F.array(*[F.struct(F.lit(n).alias("n"), F.lit(q).alias("q")) for n, q in postings[w]]))])
 
-    def hits(words: Column) -> Column:
-        rare = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(anchors, w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
-        return F.when(F.arrays_overlap(words, anchors), rare).otherwise(F.expr("CAST(array() AS array<struct<w:string,i:int>>)"))
+    def phrases(t: Template) -> Column:
+        found = [(p.split(), next(i for i in range(len(t.words)) if t.words[i : i + len(p.split())] == p.split())) for p in t.mandatory] or [(t.words, 0)]
+        return F.array(*[F.struct(F.lit(at).alias("at"), F.lit(at + len(p) - 1).alias("last")) for p, at in found])
 
-    def proposed(rare: Column, word: str, at: int) -> Column:
-        return F.transform(F.filter(rare, lambda x: x["w"] == word), lambda x: x["i"] - at)
+    def shares(t: Template) -> list[float]:
+        weight = sum(idf[w] for w in t.words)
+        return [idf[w] / weight for w in t.words]
 
-    def found(t: Template, posting: list, n: int, words: Column, rare: Column) -> Column:
-        """array<struct<n, at, score>> of the places where template t, number n, begins."""
-        tw = t.words
-        starts = F.array_distinct(F.concat(*[proposed(rare, w, q) for w, q in posting]))
-        weight = sum(idf[w] for w in tw)
+    table = F.array(*[F.struct(array(t.words).alias("words"), array(shares(t)).alias("share"), phrases(t).alias("phrases"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base")) for t in templates])
 
-        def share(o: Column) -> Column:
-            got = F.lit(0.0)
-            for j, w in enumerate(tw):
-                got = got + F.when((o + j >= 0) & (F.get(words, o + j) == w), F.lit(idf[w] / weight)).otherwise(F.lit(0.0))
-            return F.least(F.lit(1.0), F.round(got, 9))
+    def proposals(words: Column) -> Column:
+        """array<struct<n, at>>, sorted, of where postings of template n would have it begin."""
+        at = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(rare, w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+        each = F.flatten(F.transform(at, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: F.struct(p["n"].alias("n"), (x["i"] - p["q"]).alias("at")))))
+        return F.when(F.arrays_overlap(words, rare), F.sort_array(each)).otherwise(F.expr("CAST(array() AS array<struct<n:int,at:int>>)"))
 
-        def whole(o: Column, phrase: list[str], at: int) -> Column:
-            ok = o + at >= 0
-            for j, w in enumerate(phrase):
-                ok = ok & F.coalesce(F.get(words, o + at + j) == w, F.lit(False))
-            return ok
+    def agreed(sorted_: Column) -> Column:
+        """What AGREE postings propose: equal neighbours, AGREE - 1 apart, and none of them twice."""
+        return F.filter(F.transform(sorted_, lambda x, i: F.when((F.get(sorted_, i + AGREE - 1) == x) & ~F.coalesce((i > 0) & (F.get(sorted_, i - 1) == x), F.lit(False)), x)), lambda x: x.isNotNull())
 
-        phrases = [(p.split(), next(i for i in range(len(tw)) if tw[i : i + len(p.split())] == p.split())) for p in t.mandatory] or [(tw, 0)]
+    def place(words: Column, x: Column) -> Column:
+        """struct<n, at, score> of a proposal, null unless the template stands there."""
 
-        def place(o: Column) -> Column:
-            ok = whole(o, *phrases[0])
-            for p in phrases[1:]:
-                ok = ok | whole(o, *p)
-            return F.when(ok, F.struct(F.lit(n).alias("n"), o.alias("at"), share(o).alias("score")))
+        def of(t: Column) -> Column:
+            got = F.transform(t["words"], lambda w, j: (x["at"] + j >= 0) & F.coalesce(F.get(words, x["at"] + j) == w, F.lit(False)))
 
-        return F.filter(F.transform(starts, place), lambda x: x.isNotNull() & (x["score"] >= SHARE))
+            def judged(got: Column) -> Column:
+                whole = F.exists(t["phrases"], lambda p: F.forall(F.slice(got, p["at"] + 1, p["last"] - p["at"] + 1), lambda ok: ok))
+                score = F.least(F.lit(1.0), F.round(F.aggregate(F.zip_with(got, t["share"], lambda ok, s: F.when(ok, s).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, s: a + s), 9))
+                return F.when(whole, F.struct(x["n"].alias("n"), x["at"].alias("at"), score.alias("score")))
+
+            return bind(got, judged)
+
+        return bind(F.get(table, x["n"]), of)
 
     def result(words: Column, places: Column) -> Column:
-        base = F.filter(places, lambda p: p["n"].isin([i for i, t in enumerate(templates) if t.base]))
-        labels = F.array(*[F.lit(t.label) for t in templates])
-        named = lambda ps: F.array_sort(F.array_distinct(F.transform(ps, lambda p: F.get(labels, p["n"]))))
+        base = F.filter(places, lambda p: F.get(table, p["n"])["base"])
+        named = lambda ps: F.array_sort(F.array_distinct(F.transform(ps, lambda p: F.get(table, p["n"])["label"])))
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.size(base).cast("long").alias("n_base"),
@@ -134,9 +159,8 @@ def scan(df: DataFrame, text_col: str = "text", into: str = "license", templates
             F.coalesce(F.array_max(F.transform(places, lambda p: p["score"])), F.lit(0.0)).alias("score"),
         )
 
-    empty = F.expr("CAST(array() AS array<struct<n:int,at:int,score:double>>)")
-
     def of(words: Column) -> Column:
-        return bind(hits(words), lambda rare: bind(F.when(F.size(rare) == 0, empty).otherwise(F.concat(*[found(t, p, n, words, rare) for n, (t, p) in enumerate(postings)])), lambda places: result(words, places)))
+        found = lambda xs: F.filter(F.transform(xs, lambda x: place(words, x)), lambda p: p.isNotNull() & (p["score"] >= SHARE))
+        return bind(bind(proposals(words), agreed), lambda xs: bind(found(xs), lambda places: result(words, places)))
 
     return df.withColumn(into, bind(words_of(text_or_empty(text_col)), of))
