@@ -2,10 +2,11 @@
 
 Each task packs its own rows, so nothing is shuffled. Whole windows of a document stand alone; the remainders, in groups whose total is a
 multiple of the capacity, are split into near-equal windows by differencing: the two partial partitions of greatest spread are merged, the
-fullest window of one with the emptiest of the other. What then exceeds the capacity is cut off and fills windows that have room, so a group
-leaves no padding. The last tokens of a task, fewer than the capacity, go to windows whose lengths are powers of two.
+fullest window of one with the emptiest of the other. While a window exceeds the capacity, the window count rises. The emptiest windows, as
+many as it rose by, are then dissolved: their pieces, cut where they must be, fill the room that the others have, so a group leaves no
+padding. The last tokens of a batch of texts, fewer than the capacity, go to windows whose lengths are powers of two.
 
-partition() is the differencing alone, without cuts: there the window count rises until no window exceeds the capacity.
+Documents of equal size are taken in the order of their rows, so ties do not change from run to run.
 """
 
 from __future__ import annotations
@@ -107,19 +108,10 @@ def windows(sizes: np.ndarray, capacity: int) -> list[list[tuple[int, int, int]]
 def _group(pieces: list[tuple[int, int, int]], capacity: int) -> list[list[tuple[int, int, int]]]:
     """Full windows from pieces whose total is a multiple of the capacity."""
     k = sum(n for _, _, n in pieces) // capacity
-    found = [[pieces[i] for i in w] for w in difference([n for _, _, n in pieces], k)]
-    over, short = [], []
-    for w in found:
-        total = sum(n for _, _, n in w)
-        while total > capacity:
-            i, start, n = w.pop()
-            cut = min(n, total - capacity)
-            if cut < n:
-                w.append((i, start, n - cut))
-            over.append((i, start + n - cut, cut))
-            total -= cut
-        if total < capacity:
-            short.append((w, capacity - total))
+    every = [[pieces[i] for i in w] for w in partition([n for _, _, n in pieces], capacity)]
+    every.sort(key=lambda w: -sum(n for _, _, n in w))
+    found, over = every[:k], [p for w in every[k:] for p in w]
+    short = [(w, room) for w in found if (room := capacity - sum(n for _, _, n in w))]
     for w, room in short:
         while room:
             i, start, n = over.pop()
