@@ -142,9 +142,9 @@ def cluster(prints: DataFrame, id_col: str = "doc_id", bits: int = BITS, block:
     found = connected(links(classes.select("fp"), bits, block))
     named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("class_fp"))
     named = materialise(named, "named")
-    per = named.groupBy("class_fp").agg(F.min("least").alias("component_id"))
+    per = materialise(named.groupBy("class_fp").agg(F.min("least").alias("component_id")), "least")  # a join of its own, which may split a hub
     out = materialise(named.select("fp", "class_fp").join(per, "class_fp"), "components")
-    discard(classes, named)
+    discard(classes, named, per)
     return prints.join(out, "fp")
 
 
