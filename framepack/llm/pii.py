@@ -22,9 +22,9 @@ EMAIL = "(?:\\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-
 IP = "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 CARD = "[0-9](?:[\\x20-]?[0-9])++"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
-#: A term needs this many distinct texts with both it and an entity, and this ratio.
+#: A term needs this many distinct texts with both it and an entity, and this ratio. It is a whole word of 3 characters or more.
 SUPPORT, RATIO = 3, 0.9
-TERM = "[\\p{Lu}0-9][\\p{L}0-9_-]{3,63}"
+TERM = "(?<![\\p{L}0-9_-])[\\p{Lu}0-9][\\p{L}0-9_-]{2,}+"
 
 
 def _ip_ok(v: Column) -> Column:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from framepack.llm.bpe import codec, slices
 from framepack.llm.common import materialise
@@ -27,7 +28,7 @@ def flatten(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
     documents and nothing else. A null text is empty."""
     kind = df.schema[id_col].dataType.simpleString()
     dtype, names = f"<u{width}", ["file", "block", "payload", "ordinal", "id"]
-    id_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
+    id_type = to_arrow_type(df.schema[id_col].dataType)
 
     def run(batches):
         c = codec(path, False)
@@ -44,6 +45,8 @@ def flatten(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, n = c.encode(part.column(1).to_pylist())
+                if max(int(ids.max(initial=0)), end_id) >= 1 << 8 * width:
+                    raise ValueError(f"ids do not fit into {width} bytes")
                 flat = np.insert(ids.astype(dtype), np.cumsum(n), end_id)
                 rows, held = blocks(np.concatenate([held, flat]), False)
                 yield rows

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from framepack.llm import bpe, buckets, common, embeddings, licenses, packing, pii, simhash, spans, substrings, tokencount
+from framepack.llm import bpe, buckets, common, embeddings, licenses, packing, pii, secrets, simhash, spans, substrings, tokencount
 from framepack.llm import queries as llm
 from tests.oracle import same
 
@@ -290,3 +290,102 @@ def test_spanning():
         m[a, b] = m[b, a] = True
     a, b = buckets.spanning(m)
     assert len(a) == 3 and components(6, zip(a.tolist(), b.tolist())) == [0, 0, 0, 3, 4, 4]
+
+
+def test_license_places(spark):
+    """Every place that the definition has is found, whichever words of a template were replaced, also among 400 other rows that make other
+    words rare; K (Kelvin sign) is no k."""
+    rng = random.Random(8)
+    rows, plain = [], licenses.words_of
+    for n, t in enumerate(licenses.TEMPLATES):
+        for k in range(8):
+            w = list(t.words)
+            for _ in range(0 if k == 0 else rng.randint(0, max(1, len(w) // 4))):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(99)}"
+            rows.append(" ".join(["some", "words"] * rng.randint(0, 3) + w + ["tail"] * rng.randint(0, 2)).upper() if k % 2 else ", ".join(w))
+    rows += [" ".join(rng.choice("the of and to in software license is copy public".split()) for _ in range(60)) for _ in range(400)] + ["MIT LICENSE " * 300, "mit license a\u212A", None, ""]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(d).select("doc_id", "license.*").collect()}
+    words = [re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in rows]
+    df = {w: sum(w in set(x) for x in words) for t in licenses.TEMPLATES for w in t.words}
+    idf = {w: np.log((1 + len(rows)) / (1 + n)) + 1 for w, n in df.items()}
+    for i, w in enumerate(words):
+        labels, base, score = set(), [], 0.0
+        for t in licenses.TEMPLATES:
+            tw, total = t.words, sum(idf[x] for x in t.words)
+            ranges = [next((a, a + len(p.split())) for a in range(len(tw)) if tw[a : a + len(p.split())] == p.split()) for p in t.mandatory] or [(0, len(tw))]
+            for o in range(-len(tw), len(w)):
+                same = [0 <= o + j < len(w) and w[o + j] == x for j, x in enumerate(tw)]
+                share = sum(idf[x] for x, s in zip(tw, same) if s) / total
+                if any(all(same[a:b]) for a, b in ranges) and share >= licenses.SHARE - 1e-9:
+                    labels.add(t.label)
+                    score = max(score, share)
+                    base += [o] * t.base
+        r = got[i]
+        assert (r["n_words"], r["labels"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), sorted(labels), len(base), min(base, default=None), max(base, default=None)), rows[i]
+        assert abs(r["score"] - score) < 1e-6
+
+
+def test_embeddings_of_any_magnitude(spark):
+    rows = [(1, [1e200, 1e200, 0.0]), (2, [1e200, 1.01e200, 0.0]), (3, [1e-200, 1e-200, 0.0]), (4, [1e-200, 1.01e-200, 0.0]), (5, [0.0, 0.0, 1e-310]), (6, [0.0, 0.0, -1.0])]
+    d = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(d).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
+
+
+@pytest.mark.parametrize("dimension", [3, 32, 64, 200])
+@pytest.mark.parametrize("n", [1000, 10**7])
+def test_embedding_tables_find_pairs_at_the_threshold(dimension, n):
+    rng = np.random.default_rng(dimension)
+    tables, joined = embeddings.plan(dimension, n, 0.93)
+    x, o = rng.normal(size=(2, 600, dimension))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    o -= (o * x).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+    a, b = (embeddings.bucket_codes(z, tables, joined).reshape(600, -1) for z in (x, y))
+    assert (a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean() >= 0.98
+
+
+def test_many_spans_in_one_text(spark):
+    """40,000 matches in one text: positions, masks and redaction, in seconds."""
+    text = " zz ".join(f"{i:024x}" for i in range(40_000)) + " \U0001f389 end"
+    d = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    want = [m.span() for m in re.finditer("[0-9a-f]{24,}", text)]
+    got = secrets.scan(d, repo_col="source", owner_col="source").first()
+    assert [(s["start"], s["end"]) for s in got["base_spans"]] == want and got["n_live"] == len(want)
+    masked = secrets.redacted(d, repo_col="source", owner_col="source").first()["text"]
+    assert masked == re.sub("[0-9a-f]{24,}", "<SECRET>", text)
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 200, 4097])
+def test_running_sums(spark, n):
+    from pyspark.sql.functions import col
+
+    xs = [(7 * i) % 11 for i in range(n)]
+    d = spark.createDataFrame([(xs,)], "x array<int>")
+    if n:
+        assert d.select(spans.before(col("x"), lambda a, x: a + x)).first()[0] == [sum(xs[:i]) for i in range(n)]
+
+
+def test_whole_words_are_terms(spark):
+    """Names of three letters and words of a hundred are terms as a whole, and nothing that begins within a word is."""
+    long = "Z" * 100
+    rows = [(i, f"note {i} Ann {long} xAnnx met ann@example.org on the day {i}") for i in range(6)] + [(100 + i, f"plain text {i} of nobody") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in pii.scan(d).select("doc_id", spans.listed(F.col("spans"), pii.KINDS).alias("s")).collect()}
+    for i, text in rows[:6]:
+        a, b = text.index("Ann "), text.index(long)
+        assert [x for x in got[i].split(",") if x.startswith("term")] == [f"term:{a}:{a + 3}", f"term:{b}:{b + 100}"]
+
+
+def test_surplus_windows_are_dissolved():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 3000, 400)
+    found = packing.windows(sizes, 256)
+    held = np.zeros(len(sizes), dtype=int)
+    for w in found:
+        total = sum(n for _, _, n in w)
+        assert total <= 256 and total & (total - 1) == 0
+        for i, _, n in w:
+            held[i] += n
+    assert (held == sizes).all() and sum(sum(n for _, _, n in w) < 256 for w in found) <= 8
