@@ -475,13 +475,23 @@ def _passages(df: DataFrame, id_col: str, text_col: str, passage: int, similar:
     rest = materialise(_open(seeds.join(often, "key").where("id <> first_id or h <> first_h"), found), "rest")
     near, rest, take = rest.select(*_PAIR).distinct(), rest.where("n > 2").select("id", "h", "key", "pos"), TAKE
     tried, large = near, often.where(F.col("n") > BLOCK).select("key", "n")
+    named = near.select("id", "h").union(near.select(F.col("first_id").alias("id"), F.col("first_h").alias("h"))).distinct()
+    looked = materialise(texts.select("id", "h", "text").join(named, ["id", "h"], "left_semi"), "looked")
+    older = [looked]
     while True:
-        edited = materialise(_verified(near, texts, kind, passage, similar), "edited")
+        edited = materialise(_verified(near, looked, kind, passage, similar), "edited")
+        discard(*older)
         found = found.unionByName(edited)
         rest = materialise(_open(rest, edited), "rest")
         if rest.isEmpty():
             break
-        agreeing = materialise(_agreeing(rest, seeds, large, texts, kind, passage, similar, take), "near")
+        # Only the documents that have a seed still open are looked at again, so each round moves less text.
+        members = seeds.join(rest.select("key").distinct(), "key", "left_semi").join(rest.withColumn("wanted", F.lit(True)), ["id", "h", "key", "pos"], "left")
+        members = members.groupBy("id", "h").agg(F.collect_list(F.struct("key", "pos", F.coalesce("wanted", F.lit(False)).alias("wanted"))).alias("w"))
+        looked = materialise(texts.select("id", "h", "text").join(members, ["id", "h"]), "looked")
+        discard(texts)
+        texts, older = looked, []
+        agreeing = materialise(_agreeing(looked, large, kind, passage, similar, take), "near")
         near = agreeing.select(*_PAIR).distinct().join(tried, _PAIR, "left_anti")
         rest = rest.join(agreeing.where("more").select("id", "h", "key").distinct(), ["id", "h", "key"], "left_semi")
         tried, take = tried.union(agreeing.select(*_PAIR)), take * MORE
@@ -518,12 +528,11 @@ def _outermost(found: DataFrame, kind: str) -> DataFrame:
     return found.repartition("id", "h").sortWithinPartitions(*order).select(*_FOUND).mapInArrow(run, _schema(kind))
 
 
-def _agreeing(rest: DataFrame, seeds: DataFrame, large: DataFrame, texts: DataFrame, kind: str, passage: int, similar: float, take: int) -> DataFrame:
-    """(key, id, h, first_id, first_h, more): for each document's seed in rest(id, h, key, pos) the lesser documents whose surroundings of the
-    seed have enough shingles in common with it, the `take` of each group of blocks that have most, and whether there are more."""
+def _agreeing(looked: DataFrame, large: DataFrame, kind: str, passage: int, similar: float, take: int) -> DataFrame:
+    """(key, id, h, first_id, first_h, more) from looked(id, h, text, w), w the seeds (key, pos, wanted) of a text: for each document's wanted
+    seed the lesser documents whose surroundings of the seed have enough shingles in common with it, the `take` of each group of blocks that
+    have most, and whether there are more."""
     width = passage - SHINGLE + 1
-    members = seeds.join(rest.select("key").distinct(), "key", "left_semi").join(rest.withColumn("wanted", F.lit(True)), ["id", "h", "key", "pos"], "left")
-    members = members.groupBy("id", "h").agg(F.collect_list(F.struct("key", "pos", F.coalesce("wanted", F.lit(False)).alias("wanted"))).alias("w"))
 
     def surroundings(batches):
         for batch in batches:
@@ -542,7 +551,7 @@ def _agreeing(rest: DataFrame, seeds: DataFrame, large: DataFrame, texts: DataFr
                 pick = pa.array(own)
                 yield pa.RecordBatch.from_arrays([flat.field(0), part.column(0).take(pick), part.column(1).take(pick), flat.field(2), pa.array(np.maximum(need, SEED // 2).astype(np.int32)), pa.array(around, pa.list_(pa.int32()))], ["key", "id", "h", "wanted", "need", "around"])
 
-    around = texts.select("id", "h", "text").join(members, ["id", "h"]).mapInArrow(surroundings, f"key long, id {kind}, h long, wanted boolean, need int, around array<int>")
+    around = looked.select("id", "h", "text", "w").mapInArrow(surroundings, f"key long, id {kind}, h long, wanted boolean, need int, around array<int>")
     rows = dealt(around, large, "id", BLOCK).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id", "h")
 
     def compare(batches):
