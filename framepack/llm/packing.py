@@ -49,11 +49,11 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return heap[0][3]
 
 
-def partition(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Windows of indices, none over capacity, of near-equal sums; no size may exceed the capacity."""
+def partition(sizes: list[int], capacity: int, least: int = 1) -> list[list[int]]:
+    """Windows of indices, `least` or more, none over capacity, of near-equal sums; no size may exceed the capacity."""
     if any(s > capacity for s in sizes):
         raise ValueError("a piece exceeds the capacity")
-    k = max(1, -(-sum(sizes) // capacity))
+    k = max(least, -(-sum(sizes) // capacity))
     while True:
         found = difference(sizes, k)
         if max(sum(sizes[i] for i in w) for w in found) <= capacity:
@@ -108,7 +108,8 @@ def windows(sizes: np.ndarray, capacity: int) -> list[list[tuple[int, int, int]]
 def _group(pieces: list[tuple[int, int, int]], capacity: int) -> list[list[tuple[int, int, int]]]:
     """Full windows from pieces whose total is a multiple of the capacity."""
     k = sum(n for _, _, n in pieces) // capacity
-    every = [[pieces[i] for i in w] for w in partition([n for _, _, n in pieces], capacity)]
+    # Full windows without a cut would need sums that are equal to the last token, so the count begins with one window more.
+    every = [[pieces[i] for i in w] for w in partition([n for _, _, n in pieces], capacity, k + 1)]
     every.sort(key=lambda w: -sum(n for _, _, n in w))
     found, over = every[:k], [p for w in every[k:] for p in w]
     short = [(w, room) for w in found if (room := capacity - sum(n for _, _, n in w))]
