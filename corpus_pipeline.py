@@ -44,7 +44,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", simhash_dedup), ("substring dedup", substring_dedup), ("secret scans", secret_scan), ("packing", pack)]
-#: Near-duplicates and packing are beyond SQL; tests/llm holds the pipeline against a brute-force version.
+#: Near-duplicates and packing are beyond SQL; tests/llm holds the stages against plain versions and against their operators.
 ORACLE_SQL = None
 
 
