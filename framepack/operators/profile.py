@@ -66,8 +66,11 @@ def summary_stats(df: DataFrame, fields: Sequence[str] | None = None, exact_medi
     stats = one.where("rows > 0").select(F.inline(F.array(*[row(i, n) for i, n in enumerate(names)]))) if names else None
     if stats is None:
         return df.sparkSession.createDataFrame([], STATS)
-    counts = distinct_counts(df, names)
-    return stats.join(F.broadcast(counts), "field").select("field", "sum", "avg", "min", "max", "count", "median", "stddev", F.when(F.col("categorical"), F.col("distinct")).alias("distinct"))
+    # Distinct values are counted where they are reported: columns that are no numbers, or have nulls.
+    full = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(_q(n)).alias(f"n{i}") for i, n in enumerate(numeric)]).first() if numeric else None
+    asked = [n for n in names if n not in numeric or full[f"n{numeric.index(n)}"] < full["rows"]]
+    counts = distinct_counts(df, asked) if asked else df.sparkSession.createDataFrame([], "field string, distinct long")
+    return stats.join(F.broadcast(counts), "field", "left").select("field", "sum", "avg", "min", "max", "count", "median", "stddev", F.when(F.col("categorical"), F.col("distinct")).alias("distinct"))
 
 
 def format_stats(stats: DataFrame) -> DataFrame:
