@@ -149,7 +149,8 @@ class _Writer(DataSourceWriter):
         self._sweep()
 
     def _sweep(self) -> None:
-        """Deletes what attempts of this write have left; other writes' files are not touched."""
+        """Deletes what attempts of this write have left; other writes' files are not touched. An attempt that is still being stopped may leave
+        a hidden file after that, which no reader looks at."""
         for f in os.listdir(self.path):
             if f.startswith(".part-") and f"-{self.run}-" in f:
                 os.remove(os.path.join(self.path, f))
