@@ -24,29 +24,41 @@ from framepack.llm.bpe import codec, slices
 
 #: Windows that one differencing fills.
 WINDOWS = 64
+_ITEM = (1 << 32) - 1
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
-    """k lists of indices into sizes with near-equal sums. Ties go to the partial partition that was made first."""
-    if not sizes:
-        return [[] for _ in range(k)]
-    heap = []
-    for n, size in enumerate(sizes):
-        sums = np.zeros(k, dtype=np.int64)
-        sums[0] = size
-        heap.append((-size, n, sums, [[n], *([] for _ in range(k - 1))]))
+    """k lists of indices into sizes with near-equal sums. Ties go to the partial partition that was made first.
+
+    A partial partition lists its parts, fullest first, each as sum << 32 | an item that stands for the part; empty parts are left out. So
+    two that fill no more than k parts together are merged by sorting, and only parts that meet are added up."""
+    part = list(range(len(sizes)))  # an item of the same part, up to the one that stands for it
+    heap = [(-size, n, [size << 32 | n]) for n, size in enumerate(sizes)]
     heapq.heapify(heap)
     made = len(sizes)
     while len(heap) > 1:
-        _, _, sa, ia = heapq.heappop(heap)  # sums descend
-        _, _, sb, ib = heapq.heappop(heap)
-        sums = sa + sb[::-1]
-        items = [x + y if y else x for x, y in zip(ia, reversed(ib))]
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order] - sums.min()
-        heapq.heappush(heap, (-int(sums[0]), made, sums, [items[i] for i in order]))
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        if (free := k - len(b)) < len(a):
+            met = []
+            for x, y in zip(a[free:], reversed(b)):
+                part[y & _ITEM] = x & _ITEM
+                met.append(x + (y & ~_ITEM))
+            a = a[:free] + met + b[: max(0, k - len(a))]
+        else:
+            a = a + b
+        a.sort(reverse=True)
+        if len(a) == k and (least := a[-1] & ~_ITEM):
+            a = [x - least for x in a]
+        heapq.heappush(heap, (-(a[0] >> 32), made, a))
         made += 1
-    return heap[0][3]
+    found: dict[int, list[int]] = {x & _ITEM: [] for x in (heap[0][2] if heap else [])}
+    for i in range(len(sizes)):
+        at = i
+        while part[at] != at:
+            part[at] = at = part[part[at]]
+        found[at].append(i)
+    return [*found.values(), *([] for _ in range(k - len(found)))]
 
 
 def partition(sizes: list[int], capacity: int, least: int = 1) -> list[list[int]]:
