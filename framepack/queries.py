@@ -372,9 +372,12 @@ def timestamp_deltas_events(spark, sf_dir):
 @query("WITH d AS (SELECT user_id, event_id, ts, coalesce((epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER w) // 1000, 0) AS d, first_value(ts) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, max(epoch_ms(f) // 1000 + s)::BIGINT AS last_second, count(*) AS n FROM (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM d) GROUP BY 1")
 def timestamps_restored_by_user(spark, sf_dir):
     t = ordered(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], ["user_id"])
-    found = codecs.timestamp_deltas(t, "ts").groupBy("user_id").agg(F.min("base").alias("first"), F.array_sort(F.collect_list(F.when(F.col("pos") > 0, F.struct("pos", "delta")))).alias("d"))
-    back = codecs.timestamps_restored(F.col("first"), F.transform("d", lambda x: x["delta"]))
-    return found.select("user_id", F.unix_seconds(F.element_at(back, -1)).alias("last_second"), F.size(back).cast("long").alias("n"))
+    found = codecs.timestamp_deltas(t, "ts").groupBy("user_id").agg(F.min("base").alias("first"), F.array_sort(F.collect_list(F.when(F.col("pos") > 0, F.struct("pos", F.coalesce("delta", F.lit(0)).alias("delta"))))).alias("d"))
+    back = found.select("user_id", "first", codecs.timestamps_restored(F.col("first"), F.transform("d", lambda x: x["delta"])).alias("back"))
+    # The latest of the restored times, which is not the last where times go back. The first counts in milliseconds, rounded, as epoch_ms does.
+    start = "(unix_micros(first) + if(unix_micros(first) < 0, -500, 500)) div 1000 div 1000"
+    latest = F.expr(f"{start} + (unix_micros(array_max(back)) - unix_micros(first)) div 1000000")
+    return back.select("user_id", latest.alias("last_second"), F.size("back").cast("long").alias("n"))
 
 
 _FLAGS = "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS pos, l_returnflag = 'R' AS b FROM lineitem"
