@@ -253,7 +253,7 @@ def streaming_deltas_events(spark, sf_dir):
 
 @query("SELECT user_id, run::BIGINT AS run, value, length FROM (SELECT user_id, run, any_value(event_type) AS value, count(*) AS length, max(run) OVER (PARTITION BY user_id) AS last FROM (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS run FROM (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) OR lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) IS NULL THEN 1 ELSE 0 END AS c FROM events)) GROUP BY user_id, run) WHERE run < last")
 def streaming_runs_events(spark, sf_dir):
-    return _run(spark, blocks.closed_runs(_streamed(spark, sf_dir, ["user_id", "event_id", "event_type"]), "user_id", "event_id", "event_type"))
+    return _stored(spark, blocks.closed_runs(_streamed(spark, sf_dir, ["user_id", "event_id", "event_type"]), "user_id", "event_id", "event_type"))
 
 
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, count(value) AS n, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max FROM events GROUP BY 1, 2")
