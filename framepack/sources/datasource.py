@@ -184,12 +184,17 @@ def load(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
     if schema is None:
         one = texts.where("value <> ''").first()
         schema = schema_of(rows_of(decode(one["value"]))) if one else T.StructType()
+    return decoded_rows(texts, schema)
+
+
+def decoded_rows(texts: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """The rows of the documents in a column of texts; a task holds one document's rows at a time."""
     fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
 
     def run(batches):
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
+            for text in batch.column(0):
+                if text := text.as_py():
                     found = rows_of(decode(text))
                     yield pa.RecordBatch.from_arrays([pa.array([_cast(r.get(f.name), f.dataType) for r in found], type=to_arrow_type(f.dataType)) for f in fields], [f.name for f in fields])
 

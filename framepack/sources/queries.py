@@ -84,11 +84,8 @@ def csv_lines_documents(spark, sf_dir):
 
 
 def _round_trip(spark, df: DataFrame, key: str, mode: str, compression: bool = False) -> DataFrame:
-    """The rows of a table after it was written as a document and read again."""
-    text = writer.encode(df, [key], "t", mode=mode, compression=compression)
-    read = spark.createDataFrame([(text,)], "text string").select(documents.decoded_json(F.col("text")).alias("j"))
-    rows = ", ".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in df.schema)
-    return read.select(F.inline(F.from_json("j", f"t array<struct<{rows}>>").getField("t")))
+    """The rows of a table after it was written as documents, of the size that a task holds, and read again."""
+    return datasource.decoded_rows(writer.encoded_documents(df, [key], "t", mode=mode, compression=compression).select("text"), df.schema)
 
 
 @query("SELECT * FROM customer")

@@ -1,7 +1,8 @@
 """Tables as text. Headers come from one profile job; rows are a projection, one line each, and never pass the driver.
 
-encoded_lines() gives a DataFrame (ord, line), which write_text() stores as text files in order. encode() joins the lines on the driver and
-is for documents that fit there; encode_value() writes plain Python values.
+encoded_lines() gives a DataFrame (ord, line), which write_text() stores as text files in order. encoded_documents() cuts a table of any size
+into documents that a task holds, a row each. encode() joins the lines on the driver and is for documents that fit there; encode_value()
+writes plain Python values.
 """
 
 from __future__ import annotations
@@ -9,17 +10,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framepack.functions.text import INTEGERS, NUMBERS, estimated_tokens, value_text
 from framepack.operators import advisor, codecs, modes, profile
 from framepack.operators.profile import _q
-from framepack.ordered import Ordered, ordered
+from framepack.ordered import Ordered, _written, ordered
 from framepack.sources.grammar import key_text, number, scalar_text
 
-BARE = "^[A-Za-z_][A-Za-z0-9_.\\-]*$"
+BARE = "^[A-Za-z_][A-Za-z0-9_.\\-]*\\z"  # $ would also match before a line break
+#: Rows, and bytes of values, of one of several documents; a row of more bytes is one of its own.
+DOCUMENT_ROWS, DOCUMENT_BYTES = 10_000, 1 << 20
 #: Depth up to which nested values are written.
 DEPTH = 100
 
@@ -57,32 +60,48 @@ def _head(spark, lines: list[str]) -> DataFrame:
 def _rows(table: Ordered, fields: list[str], delimiter: str, null: str = "null", hidden: frozenset[str] = frozenset()) -> DataFrame:
     kinds = {f: table.df.schema[f].dataType for f in fields}
     cells = [F.lit("~") if f in hidden else cell(_q(f), kinds[f], null) for f in fields]
-    return table.df.select(F.col("pos").alias("ord"), F.concat(F.lit("  "), F.concat_ws(delimiter, *cells)).alias("line"))
+    return table.df.select(*table.by, F.col("pos").alias("ord"), F.concat(F.lit("  "), F.concat_ws(delimiter, *cells)).alias("line"))
 
 
-def _directives(table: Ordered, advice: dict[str, str]) -> tuple[list[str], dict[str, str]]:
-    """Lines for the columns that a codec takes, and the tags that stay. A column whose codec cannot hold its values stays in the rows."""
-    lines, tags = [], {}
+def _directives(table: Ordered, advice: dict[str, str]) -> tuple[list[DataFrame], dict[str, str]]:
+    """A table (group columns, line) for each directive of the columns that a codec takes, and the tags that stay. A column whose codec cannot
+    hold its values stays in the rows."""
+    out, tags = [], {}
     for f, codec in advice.items():
         kind = table.df.schema[f].dataType
         plain = Ordered(table.df.withColumn("__c", cell(_q(f), kind)), table.by, table.cut)
+
+        def add(texts: DataFrame, before: str, *after: Column) -> None:
+            out.append(texts.select(*table.by, F.concat(F.lit(before), "text", *after).alias("line")))
+
         if codec == "rle":
             runs = codecs.rle_runs(plain, "__c")
             item = F.when(F.col("length") > 1, F.concat("value", F.lit("*"), F.col("length").cast("string"))).otherwise(F.col("value"))
-            lines.append(f"@rle:{key_text(f)} " + codecs._joined(runs, (), "run", item, "|").first()["text"])
+            add(codecs._joined(runs, table.by, "run", item, "|"), f"@rle:{key_text(f)} ")
         elif codec == "dictionary":
-            entries = codecs._joined(codecs.dictionary(plain, "__c"), (), "idx", F.col("value"), ", ").first()["text"]
-            at = codecs._joined(codecs.dictionary_indices(plain, "__c"), (), "pos", F.col("idx").cast("string"), ",").first()["text"]
-            lines += [f"@dict:{key_text(f)} [{entries}]", f"@idx:{key_text(f)} {at}"]
+            add(codecs._joined(codecs.dictionary(plain, "__c"), table.by, "idx", F.col("value"), ", "), f"@dict:{key_text(f)} [", F.lit("]"))
+            add(codecs._joined(codecs.dictionary_indices(plain, "__c"), table.by, "pos", F.col("idx").cast("string"), ","), f"@idx:{key_text(f)} ")
         elif codec == "delta" and isinstance(kind, INTEGERS):
-            lines.append(f"@delta:{key_text(f)} " + codecs.delta_text(table, f, "|").first()["text"])
+            add(codecs.delta_text(table, f, "|"), f"@delta:{key_text(f)} ")
         elif codec == "bits":
-            n = table.df.count()
-            lines.append(f'@bits:{key_text(f)} "{codecs.hex_text(table, _q(f)).first()["text"]}" {n}')
+            counts = table.df.groupBy(*table.by).agg(F.count(F.lit(1)).alias("n"))
+            texts = codecs.hex_text(table, _q(f))
+            texts = texts.join(counts, list(table.by)) if table.by else texts.crossJoin(counts)
+            add(texts, f'@bits:{key_text(f)} "', F.lit('" '), F.col("n").cast("string"))
         else:
             continue
         tags[f] = codec
-    return lines, tags
+    return out, tags
+
+
+def _advice(table: Ordered, fields: list[str], n: int) -> dict[str, str]:
+    """The codec of every column that has one."""
+    if n < advisor.ROWS:
+        return {}
+    advice = {r["field"]: r["algorithm"] for r in advisor.advise(table, fields).collect() if r["algorithm"] in ("rle", "dictionary", "delta")}
+    flags = [f for f in fields if f not in advice and isinstance(table.df.schema[f].dataType, T.BooleanType)]
+    full = table.df.agg(F.count(F.lit(1)).alias("n"), *[F.count(_q(f)).alias(f"c{i}") for i, f in enumerate(flags)]).first()
+    return advice | {f: "bits" for i, f in enumerate(flags) if full[f"c{i}"] == full["n"]}
 
 
 def encoded_lines(df: DataFrame, order_by: Sequence[str], name: str | None = None, mode: str | None = None, delimiter: str = "|", compression: bool = False, hidden: Sequence[str] = ()) -> DataFrame:
@@ -113,18 +132,74 @@ def encoded_lines(df: DataFrame, order_by: Sequence[str], name: str | None = Non
         head = f"{title}[{n}]@sparse " + "|".join(key_text(f) + "?" * (full[i] < n) for i, f in enumerate(fields))
         return _head(spark, [head]).union(_rows(table, fields, "|", ""))
     types = _types(df)
-    advice: dict[str, str] = {}
-    if compression and n >= advisor.ROWS:
-        advice = {r["field"]: r["algorithm"] for r in advisor.advise(table, fields).collect() if r["algorithm"] in ("rle", "dictionary", "delta")}
-        flags = [f for f in fields if f not in advice and isinstance(df.schema[f].dataType, T.BooleanType)]
-        full = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(_q(f)).alias(f"c{i}") for i, f in enumerate(flags)]).first()
-        advice |= {f: "bits" for i, f in enumerate(flags) if full[f"c{i}"] == full["n"]}
-    directives, tags = _directives(table, advice)
-    head = f"{title}[{n}] " + delimiter.join(f"{key_text(f)}:{types[f]}" + (f"@{tags[f]}" if f in tags else "") for f in fields)
-    lines = _head(spark, [head, *directives])
+    directives, tags = _directives(table, _advice(table, fields, n) if compression else {})
+    lines = spark.createDataFrame([(-1 - len(directives), f"{title}[{n}] " + _typed_head(fields, types, tags, delimiter))], "ord long, line string")
+    for i, d in enumerate(directives):
+        lines = lines.union(d.select(F.lit(i - len(directives)).cast("long").alias("ord"), "line"))
     return lines if len(tags) == len(fields) else lines.union(_rows(table, fields, delimiter, hidden=frozenset(tags)))
 
 
+def _typed_head(fields: list[str], types: dict[str, str], tags: dict[str, str], delimiter: str) -> str:
+    return delimiter.join(f"{key_text(f)}:{types[f]}" + (f"@{tags[f]}" if f in tags else "") for f in fields)
+
+
+def _blocks(df: DataFrame, order_by: Sequence[str], rows: int, size: int) -> DataFrame:
+    """df with pos, its order, and block: consecutive rows, at most `rows` and of `size` bytes and a row more."""
+    bytes_of = [F.coalesce(F.octet_length(_q(c).cast("string")), F.lit(4)).cast("long") for c in df.columns]
+    table = ordered(df, order_by, small=rows)
+    table = table.with_df(table.df.withColumn("__cost", F.greatest(F.lit(-(-size // rows)).cast("long"), sum(bytes_of[1:], bytes_of[0]))))
+    out = table.running(F.col("__cost"), "__end").df
+    return out.withColumn("block", F.call_function("div", F.col("__end") - F.col("__cost"), F.lit(size).cast("long"))).select(*[_q(c) for c in df.columns], "pos", "block")
+
+
+def encoded_documents(df: DataFrame, order_by: Sequence[str], name: str | None = None, mode: str | None = None, delimiter: str = "|", compression: bool = False, hidden: Sequence[str] = (), rows: int = DOCUMENT_ROWS, size: int = DOCUMENT_BYTES) -> DataFrame:
+    """(block, text): the table as documents that each stand alone and hold consecutive rows, at most `rows` and about `size` bytes of values;
+    block sorts them, a table without rows has none. Layout, types and codecs are those of the whole table."""
+    if delimiter not in ("|", ",", "\t"):
+        raise ValueError(f"unknown delimiter {delimiter!r}")
+    fields = [c for c in df.columns if c not in hidden]
+    kinds = {f: df.schema[f].dataType for f in fields}
+    mode = modes.select_mode(df.select(*[_q(f) for f in fields]), mode)
+    title, table = (key_text(name) if name else "") + "::", _blocks(df, order_by, rows, size)
+
+    def grouped(lines: DataFrame, order: str, *columns: str) -> DataFrame:
+        return lines.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("r"))
+
+    def joined(column: str, separator: str) -> Column:
+        return F.array_join(F.transform("r", lambda x: x[column]), separator)
+
+    n = F.size("r").cast("string")
+    if mode in ("nested", "json"):
+        lines = table.select("block", "pos", F.to_json(F.struct(*[_q(f) for f in fields]), {"ignoreNullFields": "false"}).alias("line"))
+        return grouped(lines, "pos", "line").select("block", joined("line", "\n").alias("text"))
+    if mode == "columnar":
+        types, at = _types(df), [f"c{i}" for i in range(len(fields))]
+        cells = grouped(table.select("block", "pos", *[cell(_q(f), kinds[f]).alias(c) for f, c in zip(fields, at)]), "pos", *at)
+        lines = [F.concat(F.lit(f"  {key_text(f)}:{types[f]}: ["), joined(c, ", "), F.lit("]")) for f, c in zip(fields, at)]
+        return cells.select("block", F.concat_ws("\n", F.concat(F.lit(f"{title}["), n, F.lit("]@columnar {")), *lines, F.lit("}")).alias("text"))
+    if mode == "compact" and compression:
+        # Several jobs read the blocks; pos counts within each.
+        own = F.row_number().over(Window.partitionBy("block").orderBy("pos")).cast("long") - 1
+        blocks = Ordered(_written(table.withColumn("pos", own)), ("block",))
+        directives, tags = _directives(blocks, _advice(blocks, fields, blocks.df.count()))
+        head = F.concat(F.lit(f"{title}["), F.count(F.lit(1)).cast("string"), F.lit("] " + _typed_head(fields, _types(df), tags, delimiter)))
+        lines = blocks.df.groupBy("block").agg(head.alias("line")).select("block", F.lit(-1 - len(directives)).cast("long").alias("ord"), "line")
+        for i, d in enumerate(directives):
+            lines = lines.union(d.select("block", F.lit(i - len(directives)).cast("long").alias("ord"), "line"))
+        if len(tags) < len(fields):
+            lines = lines.union(_rows(blocks, fields, delimiter, hidden=frozenset(tags)).select("block", "ord", "line"))
+        return grouped(lines, "ord", "line").select("block", joined("line", "\n").alias("text"))
+    if mode == "sparse":
+        full = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(_q(f)).alias(str(i)) for i, f in enumerate(fields)]).first()
+        head = "@sparse " + "|".join(key_text(f) + "?" * (full[str(i)] < full["n"]) for i, f in enumerate(fields))
+    elif mode == "stream":
+        head = "@stream " + "|".join(key_text(f) for f in fields)
+    else:
+        head = " " + _typed_head(fields, _types(df), {}, delimiter)
+    lines = _rows(Ordered(table, ("block",)), fields, delimiter if mode == "compact" else "|", "" if mode == "sparse" else "null")
+    return grouped(lines, "ord", "line").select("block", F.concat(F.lit(f"{title}["), n, F.lit(f"]{head}\n"), joined("line", "\n")).alias("text"))
+
+
 def write_text(lines: DataFrame, path: str) -> None:
     """Stores the lines as text files whose names keep their order."""
     lines.orderBy("ord").select(F.col("line").alias("value")).write.text(path)
