@@ -40,7 +40,7 @@ def test_a_large_row_stands_alone(spark):
     assert sum(parts, []) == list(range(10)) and parts[-1] == [6, 7, 8, 9]
 
 
-@pytest.mark.parametrize("name", ["roundtrip_sparse_events", "roundtrip_stream_documents", "roundtrip_columnar_pages"])
+@pytest.mark.parametrize("name", ["roundtrip_sparse_events", "roundtrip_stream_documents", "roundtrip_columnar_pages", "roundtrip_compressed_orders"])
 def test_no_document_passes_the_driver(spark, sf_dir, name):
     df = sources.queries()[name](spark, sf_dir)
     assert df.inputFiles()
