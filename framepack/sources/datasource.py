@@ -187,18 +187,28 @@ def load(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
     return decoded_rows(texts, schema)
 
 
-def decoded_rows(texts: DataFrame, schema: T.StructType | str) -> DataFrame:
-    """The rows of the documents in a column of texts; a task holds one document's rows at a time."""
+def decoded_rows(texts: DataFrame, schema: T.StructType | str, key: str | None = None) -> DataFrame:
+    """The rows of the documents in a column of texts; a task holds one document's rows at a time. Python is handed many texts at once, up to
+    what an Arrow batch takes; with a key, a column that tells the documents apart, one at a time."""
     fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
+    names = [f.name for f in fields]
+
+    def columns(found: list[dict]) -> list[pa.Array]:
+        return [pa.array([_cast(r.get(f.name), f.dataType) for r in found], type=to_arrow_type(f.dataType)) for f in fields]
 
     def run(batches):
         for batch in batches:
             for text in batch.column(0):
                 if text := text.as_py():
-                    found = rows_of(decode(text))
-                    yield pa.RecordBatch.from_arrays([pa.array([_cast(r.get(f.name), f.dataType) for r in found], type=to_arrow_type(f.dataType)) for f in fields], [f.name for f in fields])
+                    yield pa.RecordBatch.from_arrays(columns(rows_of(decode(text))), names)
+
+    def run_one(table: pa.Table) -> pa.Table:
+        return pa.Table.from_arrays(columns([r for text in table.column(1) if (t := text.as_py()) for r in rows_of(decode(t))]), names)
 
-    return texts.mapInArrow(run, T.StructType(fields))
+    if key is None:
+        return texts.mapInArrow(run, T.StructType(fields))
+    column = next(c for c in texts.columns if c != key)
+    return texts.select(key, column).groupBy(key).applyInArrow(run_one, T.StructType(fields))
 
 
 class FramepackSource(DataSource):

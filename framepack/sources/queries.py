@@ -85,7 +85,7 @@ def csv_lines_documents(spark, sf_dir):
 
 def _round_trip(spark, df: DataFrame, key: str, mode: str, compression: bool = False) -> DataFrame:
     """The rows of a table after it was written as documents, of the size that a task holds, and read again."""
-    return datasource.decoded_rows(writer.encoded_documents(df, [key], "t", mode=mode, compression=compression).select("text"), df.schema)
+    return datasource.decoded_rows(writer.encoded_documents(df, [key], "t", mode=mode, compression=compression), df.schema, "block")
 
 
 @query("SELECT * FROM customer")

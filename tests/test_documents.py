@@ -44,3 +44,18 @@ def test_a_large_row_stands_alone(spark):
 def test_no_document_passes_the_driver(spark, sf_dir, name):
     df = sources.queries()[name](spark, sf_dir)
     assert df.inputFiles()
+
+
+@pytest.mark.parametrize("name", ["roundtrip_columnar_pages", "roundtrip_compressed_orders"])
+def test_documents_are_read_one_at_a_time(spark, sf_dir, name):
+    """Arrow batches of whole documents would hold as many as fit in 64 MB, in the JVM and in Python."""
+    plan = sources.queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan and "MapInArrow" not in plan.replace("FlatMapGroupsInArrow", "")
+
+
+def test_documents_with_a_key(spark):
+    texts = spark.createDataFrame([(k, f"t::[2] id:u8|s:str\n  {k}|x\n  {k + 1}|null" if k % 3 else (None if k else "")) for k in range(0, 40, 2)], "block long, text string").repartition(4)
+    got = datasource.decoded_rows(texts, "id long, s string", "block").collect()
+    want = [(k + i, (None if i else "x")) for k in range(0, 40, 2) if k % 3 for i in (0, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sorted(map(tuple, datasource.decoded_rows(texts.select("text"), "id long, s string").collect())) == sorted(want)
