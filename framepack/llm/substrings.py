@@ -301,26 +301,35 @@ def passages(x: np.ndarray, y: np.ndarray, passage: int = PASSAGE, similar: floa
     if not len(found):
         return []
 
+    # Most stretches are short, where sets of numbers are faster than sorted arrays.
+    here, there = x.tolist(), y.tolist()
+
     def checked(a: int, b: int, lo: int, hi: int) -> tuple | None:
-        u, v = np.unique(x[a : b + 1]), np.unique(y[lo : hi + 1])
-        both = len(np.intersect1d(u, v, assume_unique=True))
+        u, v = set(here[a : b + 1]), set(there[lo : hi + 1])
+        both = len(u & v)
         j = both / (len(u) + len(v) - both)
         return (a, b + SHINGLE, lo, hi + SHINGLE, j) if j >= similar else None
 
     def dense(a: int, b: int, i: np.ndarray, j: np.ndarray) -> list[tuple]:
         """Similar runs of a passage's length in x[a..b], of the hits (i, j) on neighbouring diagonals; one after another."""
+        least = similar * (width + SHINGLE - 1)
+        if len(i) < least:
+            return []
         has = np.zeros(b - a + 1, bool)
         has[i - a] = True
         sums = np.concatenate([[0], np.cumsum(has)])
         got, upto = [], -1
         both = sums[width:] - sums[:-width]
+        enough = np.flatnonzero(both >= least)
+        if not len(enough):
+            return []
         by = np.argsort(i, kind="stable")
         at, to = i[by] - a, j[by]
-        first = np.minimum(np.searchsorted(at, np.arange(len(both))), len(at) - 1)
-        last = np.maximum(np.searchsorted(at, np.arange(len(both)) + width) - 1, 0)
-        there = np.abs(to[last] - to[first]) + 1
-        likely = (both >= similar * (width + SHINGLE - 1)) & (both >= (similar - 0.03) * (width + there - both))
-        for s in np.flatnonzero(likely).tolist():
+        first = np.minimum(np.searchsorted(at, enough), len(at) - 1)
+        last = np.maximum(np.searchsorted(at, enough + width) - 1, 0)
+        apart = np.abs(to[last] - to[first]) + 1
+        likely = both[enough] >= (similar - 0.03) * (width + apart - both[enough])
+        for s in enough[likely].tolist():
             if s > upto:
                 inside = (i >= a + s) & (i < a + s + width)
                 if p := checked(a + s, a + s + width - 1, int(j[inside].min()), int(j[inside].max())):
@@ -346,7 +355,9 @@ def passages(x: np.ndarray, y: np.ndarray, passage: int = PASSAGE, similar: floa
             if covered[i].all():  # text said over and over has many diagonals
                 continue
             known = len(parts)
-            for s, e in _stretches(np.unique(i), width):
+            met = np.zeros(b - a + 1, bool)
+            met[i] = True
+            for s, e in _stretches(np.flatnonzero(met), width):
                 inside = (i >= s) & (i <= e)
                 if got := checked(a + s, a + e, int(j[inside].min()), int(j[inside].max())):
                     parts.append(got)
@@ -691,10 +702,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, kind: str, passage: int, simil
                 for part in slices(longer, "y"):
                     rows = []
                     last, seen = None, None
-                    for i, (x, y, of) in enumerate(zip(part.column(4).to_pylist(), part.column(5).to_pylist(), part.column(3).to_pylist())):
+                    words, counts = word_hashes(part.column(4).to_pylist())
+                    shingles, n = shingle_hashes(words, counts)
+                    ends = np.cumsum(n)
+                    for i, (x, y, of) in enumerate(zip(np.split(shingles, ends[:-1]), part.column(5).to_pylist(), part.column(3).to_pylist())):
                         if last != (of, len(y)):
                             last, seen = (of, len(y)), shingle_hashes(*word_hashes([y]))[0]
-                        rows += [(i, *p) for p in passages(shingle_hashes(*word_hashes([x]))[0], seen, passage, similar)]
+                        rows += [(i, *p) for p in passages(x, seen, passage, similar)]
                     cols = list(zip(*rows)) if rows else [[]] * 6
                     pick = pa.array(cols[0], pa.int64())
                     a, b, u, v = (pa.array(c, pa.int64()) for c in cols[1:5])

@@ -169,3 +169,18 @@ def test_deduplicated_by_text(spark):
     assert {k: r["text"] for k, r in got.items()} == {1: rows[0][1], 2: cut, 3: "a short row", 4: "tail", 5: long, 6: None, 7: "", 8: ""}
     assert [got[k]["key"] for k in range(1, 9)] == list("abcdefgh")
     assert substrings.deduplicated(d.where("doc_id > 99")).count() == 0
+
+
+def test_few_matches_on_a_diagonal_are_no_passage(monkeypatch):
+    """Stretches with too few matches for a passage are told by their number, before anything is sorted."""
+    import numpy as np
+
+    from framepack.llm import substrings
+
+    rng = np.random.default_rng(3)
+    x, y = (rng.integers(0, 1 << 60, 300).astype(np.uint64) for _ in range(2))
+    y[::8] = x[::8]
+    sorts, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **b: sorts.append(len(a[0])) or plain(*a, **b))
+    assert substrings.passages(x, y) == []
+    assert sum(n < 100 for n in sorts) <= 1
