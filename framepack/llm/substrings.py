@@ -49,21 +49,38 @@ _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEED = _rng.integers(1, 1 << 63, 16, dtype=np.uint64)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_DIVIDE = np.uint64(pow(int(_MULT), -1, 1 << 64))
+_UP = np.uint64(0xA0761D6478BD642F)
+_DOWN = np.uint64(pow(int(_UP), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.where(_SPACE, np.uint64(0), _BYTE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.cumprod(out)
+    """The first n powers; not to be written to."""
+    if n > _KEPT:
+        out = np.full(n, base, dtype=np.uint64)
+        out[:1] = 1
+        return np.cumprod(out, out=out)
+    if base not in _kept:
+        _kept[base] = np.cumprod(np.append(np.uint64(1), np.full(_KEPT - 1, base)))
+    return _kept[base][:n]
+
+
+#: So many powers of a base are kept.
+_KEPT = 1 << 15
+_kept: dict[np.uint64, np.ndarray] = {}
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,10 +93,9 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(np.searchsorted(start, ends), prepend=0)
     if not len(start):
         return np.zeros(0, np.uint64), counts
-    nth = np.arange(len(raw)) - np.repeat(start, np.diff(start, append=len(raw))) if start[0] == 0 else np.arange(len(raw)) - np.repeat(np.concatenate([[0], start]), np.diff(np.concatenate([[0], start]), append=len(raw)))
-    part = _BYTE[raw] * _powers(_MULT, int(nth.max()) + 1)[nth]
-    part[space] = 0
-    return mix(np.add.reduceat(part, start)), counts
+    # Powers rise over all texts; a word's first one is divided out again.
+    part = _LETTER[raw] * _powers(_MULT, len(raw))
+    return mix(np.add.reduceat(part, start) * _powers(_DIVIDE, len(raw))[start]), counts
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,19 +120,28 @@ def _slide(x: np.ndarray, width: int, least) -> np.ndarray:
     return least(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def windows(h: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The compact windows (l, c, r) of at least `width` hashes, over all texts at once; text is each hash's text, ascending."""
-    empty = np.zeros(0, np.int64)
+def leasts(h: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
+    """Where the least hashes of all runs of `width` hashes stand, over all texts at once; text is each hash's text, ascending."""
     if len(h) < width:
-        return empty, empty, empty
+        return np.zeros(0, np.int64)
     low = _slide(h, width, np.minimum)
     inside = text[: len(low)] == text[width - 1 :]
     pad = np.zeros(width - 1, np.uint64)
     high = _slide(np.concatenate([pad, np.where(inside, low, np.uint64(0)), pad]), width, np.maximum)
-    cover = _slide(np.concatenate([pad.astype(bool), inside, pad.astype(bool)]), width, np.logical_or)
-    c = np.flatnonzero(cover & (high == h))
+    c = np.flatnonzero(high == h)
+    # A hash of zero is no less than the padding, but least only where a run covers it.
+    zero = h[c] == 0
+    if zero.any():
+        sums = _sums(inside)
+        c = c[~zero | (sums[np.minimum(c + 1, len(low))] > sums[np.minimum(np.maximum(c - width + 1, 0), len(low))])]
+    return c
+
+
+def windows(h: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The compact windows (l, c, r) of at least `width` hashes, over all texts at once; text is each hash's text, ascending."""
+    c = leasts(h, text, width)
     if not len(c):
-        return empty, empty, empty
+        return c, c, c
     # The next smaller hash on either side, by jumping from one window to the next while it is no smaller.
     v, t, n = h[c], text[c], len(c)
     bounds = np.searchsorted(text, np.arange(int(t.max()) + 2))
@@ -135,6 +160,15 @@ def windows(h: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np
     return left, c, right
 
 
+def _long(words: np.ndarray, counts: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts that may hold a passage, and their signatures as a whole."""
+    starts = np.cumsum(counts) - counts
+    part = words * _powers(_UP, int(counts.max(initial=0)))[np.arange(len(words)) - np.repeat(starts, counts)]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)])
+    long = np.flatnonzero(counts >= passage)
+    return long, mix(mix(sums[(starts + counts)[long]] - sums[starts[long]]) + np.uint64(FUNCTIONS))
+
+
 def signatures(texts: list[str | None], passage: int = PASSAGE) -> tuple[np.ndarray, ...]:
     """(text, key, function, l, c, r) of all compact windows of the texts; positions are shingles of the text. A text that may hold a passage
     has a signature as a whole besides, with function -1 and l its number of words."""
@@ -151,11 +185,55 @@ def signatures(texts: list[str | None], passage: int = PASSAGE) -> tuple[np.ndar
     c, key, f, l, r = (np.concatenate(x) for x in zip(*out))
     own = text[c] if len(c) else c
     at = before[own] if len(c) else c
-    long = np.flatnonzero(counts >= passage)
-    ends = np.cumsum(counts)
-    whole = np.array([int(grams(words[b - k : b], int(k))[0]) for b, k in zip(ends[long].tolist(), counts[long].tolist())], dtype=np.uint64)
+    long, whole = _long(words, counts, passage)
     none = np.zeros(len(long), np.int64)
-    return np.append(own, long), np.append(key, mix(whole + np.uint64(FUNCTIONS))), np.append(f, none - 1), np.append(l - at, counts[long]), np.append(c - at, none), np.append(r - at, none)
+    return np.append(own, long), np.append(key, whole), np.append(f, none - 1), np.append(l - at, counts[long]), np.append(c - at, none), np.append(r - at, none)
+
+
+def keys(texts: list[str | None], passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key) of the windows of signatures() and (text, key) of the whole texts."""
+    width = passage - SHINGLE + 1
+    words, counts = word_hashes(texts)
+    s, n = shingle_hashes(words, counts)
+    text = np.repeat(np.arange(len(n)), n)
+    out = []
+    for f in range(FUNCTIONS):
+        h = mix(s ^ _SEED[f])
+        c = leasts(h, text, width)
+        out.append((text[c], mix(h[c] + np.uint64(f))))
+    return *(np.concatenate(x) for x in zip(*out)), *_long(words, counts, passage)
+
+
+def _shared(docs: DataFrame, kind: str, passage: int) -> DataFrame:
+    """(key, least): the signatures that texts of different content have, and with the least of their rows those of whole texts that several
+    rows have. A batch's rows of a window's signature are summed up before Spark sees them."""
+
+    def run(batches):
+        for batch in batches:
+            own, key, long, whole, done = [], [], [], [], 0
+            for part in slices(batch, "text"):
+                x = keys(part.column(2).to_pylist(), passage)
+                own.append(x[0] + done)
+                key.append(x[1])
+                long.append(x[2] + done)
+                whole.append(x[3])
+                done += part.num_rows
+            if not done:
+                continue
+            key, h = np.concatenate(key), batch.column(1).to_numpy()
+            order = np.argsort(key)
+            key, hashes = key[order], h[np.concatenate(own)[order]]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            if len(first):
+                a, b = np.minimum.reduceat(hashes, first), np.maximum.reduceat(hashes, first)
+                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(a), pa.array(b), pa.nulls(len(first), batch.schema.field(0).type)], ["key", "a", "b", "id"])
+            pick = pa.array(np.concatenate(long))
+            same = batch.column(1).take(pick)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(whole).view(np.int64)), same, same, batch.column(0).take(pick)], ["key", "a", "b", "id"])
+
+    rows = docs.select("id", "h", "text").mapInArrow(run, f"key long, a long, b long, id {kind}")
+    by_key = rows.groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("id").alias("least"), F.max("id").alias("last"))
+    return by_key.where("coalesce(least <> last, a <> b)").select("key", "least")
 
 
 def _indexed(docs: DataFrame, kind: str, passage: int) -> DataFrame:
@@ -283,26 +361,69 @@ def _changes(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
     return out
 
 
-def passages(x: np.ndarray, y: np.ndarray, passage: int = PASSAGE, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
+class _Places:
+    """Where the shingles of a text stand: what passages() needs of the text that others are compared with, for all of them."""
+
+    def __init__(self, y: np.ndarray):
+        self.y = y
+        self.order = np.argsort(y, kind="stable")
+        self.sorted = y[self.order]
+        new = np.append(True, self.sorted[1:] != self.sorted[:-1])[: len(y)]
+        self.rank = np.cumsum(new) - 1
+        self.key = self.rank * (len(y) + 1) + self.order
+        single = np.zeros(len(y), bool)
+        single[self.order] = new & np.append(new[1:], True)[: len(y)]
+        self.single = _sums(single)
+        self._runs: tuple[np.ndarray, ...] | None = None
+
+    def runs(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the runs of `width` shingles, their order and themselves in order."""
+        if self._runs is None:
+            h = grams(self.y, width)
+            order = np.argsort(h, kind="stable")
+            self._runs = h, order, h[order]
+        return self._runs
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x) + 1, np.int64)
+    np.cumsum(x, out=out[1:])
+    return out
+
+
+def passages(x: np.ndarray, y: np.ndarray | _Places, passage: int = PASSAGE, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
     """(start, end, start in y, end in y, similarity) in words of the passages of x, shingle hashes, that repeat in y; Jaccard similarity.
 
     A stretch of shingles that y has is compared with where they first stand in y, and if that fails with all places where they stand: the
     runs that are the same word for word, each diagonal's stretches on their own, and within a stretch that is not similar as a whole the runs
-    of a passage's length that are."""
+    of a passage's length that are. Stretches whose counts of shingles already tell that they are not similar are not compared."""
     width = passage - SHINGLE + 1
+    places = y if isinstance(y, _Places) else None
+    y = places.y if places else y
     if len(x) < width or len(y) < width:
         return []
-    order = np.argsort(y, kind="stable")
-    at = np.searchsorted(y[order], x)
+    places = places or _Places(y)
+    at = np.searchsorted(places.sorted, x)
     at[at == len(y)] = 0
-    hit = y[order[at]] == x
-    where = order[at]
+    hit = places.sorted[at] == x
+    where = places.order[at]
     found = np.flatnonzero(hit)
     if not len(found):
         return []
+    stretches = _stretches(found, width)
+    if not stretches:
+        return []
 
     # Most stretches are short, where sets of numbers are faster than sorted arrays.
     here, there = x.tolist(), y.tolist()
+    # Shingles up to a place that y has, and those that stand once in their text.
+    hits, ones, singles = _sums(hit), _sums(_once(x)), places.single
+
+    def likely(a, b, lo, hi):
+        """Whether x[a..b] may be similar to y[lo..hi], which have no more in common than y's shingles in x, and no fewer different ones than
+        those that stand once; for numbers and arrays."""
+        both = hits[b + 1] - hits[a]
+        return both >= similar * (ones[b + 1] - ones[a] + singles[hi + 1] - singles[lo] - both) - 1e-6
 
     def checked(a: int, b: int, lo: int, hi: int) -> tuple | None:
         u, v = set(here[a : b + 1]), set(there[lo : hi + 1])
@@ -310,14 +431,15 @@ def passages(x: np.ndarray, y: np.ndarray, passage: int = PASSAGE, similar: floa
         j = both / (len(u) + len(v) - both)
         return (a, b + SHINGLE, lo, hi + SHINGLE, j) if j >= similar else None
 
+    least = similar * (width + SHINGLE - 1)
+
     def dense(a: int, b: int, i: np.ndarray, j: np.ndarray) -> list[tuple]:
         """Similar runs of a passage's length in x[a..b], of the hits (i, j) on neighbouring diagonals; one after another."""
-        least = similar * (width + SHINGLE - 1)
         if len(i) < least:
             return []
         has = np.zeros(b - a + 1, bool)
         has[i - a] = True
-        sums = np.concatenate([[0], np.cumsum(has)])
+        sums = _sums(has)
         got, upto = [], -1
         both = sums[width:] - sums[:-width]
         enough = np.flatnonzero(both >= least)
@@ -325,33 +447,43 @@ def passages(x: np.ndarray, y: np.ndarray, passage: int = PASSAGE, similar: floa
             return []
         by = np.argsort(i, kind="stable")
         at, to = i[by] - a, j[by]
-        first = np.minimum(np.searchsorted(at, enough), len(at) - 1)
-        last = np.maximum(np.searchsorted(at, enough + width) - 1, 0)
+        first = sums[enough] if len(i) == sums[-1] else np.searchsorted(at, enough)
+        last = (sums[enough + width] if len(i) == sums[-1] else np.searchsorted(at, enough + width)) - 1
         apart = np.abs(to[last] - to[first]) + 1
-        likely = both[enough] >= (similar - 0.03) * (width + apart - both[enough])
-        for s in enough[likely].tolist():
+        some = enough[both[enough] >= (similar - 0.03) * (width + apart - both[enough])]
+        if not len(some):
+            return []
+        low, high = np.full(b - a + 1, len(y)), np.full(b - a + 1, -1)
+        np.minimum.at(low, at, to)
+        np.maximum.at(high, at, to)
+        low, high = _slide(low, width, np.minimum)[some], _slide(high, width, np.maximum)[some]
+        for s, lo, hi, ok in zip(some.tolist(), low.tolist(), high.tolist(), likely(some + a, some + a + width - 1, low, high).tolist()):
             if s > upto:
-                inside = (i >= a + s) & (i < a + s + width)
-                if p := checked(a + s, a + s + width - 1, int(j[inside].min()), int(j[inside].max())):
+                if ok and (p := checked(a + s, a + s + width - 1, lo, hi)):
                     got.append(p)
                     upto = s + width // 2
                 else:
                     upto = s + SHINGLE - 1  # an edit further on changes so many
         return got
 
+    # Where a run of a passage's length may begin that y has as well.
+    runs = np.flatnonzero(hits[width:] - hits[:-width] == width)
     out = []
-    for a, b in _stretches(found, width):
+    for a, b in stretches:
         own = np.flatnonzero(hit[a : b + 1]) + a
         shift = where[own] - own
-        near = own[np.abs(shift - np.median(shift)) <= max(GAP, (b - a + 1) // 8)]
-        if len(near) and (got := checked(a, b, int(where[near].min()), int(where[near].max()))):
-            out.append(got)
-            continue
-        parts = [(s, e + SHINGLE, q, q + e - s + SHINGLE, 1.0) for s, e, q in _runs(x, y, a, b, width)]
+        near = where[own[np.abs(shift - np.median(shift)) <= max(GAP, (b - a + 1) // 8)]]
+        if len(near):
+            lo, hi = int(near.min()), int(near.max())
+            if likely(a, b, lo, hi) and (got := checked(a, b, lo, hi)):
+                out.append(got)
+                continue
+        begin, upto = np.searchsorted(runs, (a, b - width + 2))
+        parts = [(s, e + SHINGLE, q, q + e - s + SHINGLE, 1.0) for s, e, q in _runs(x, places, a, b, width)] if begin < upto else []
         covered = np.zeros(b - a + 1, bool)
         for s, e, *_ in parts:
             covered[s - a : e - SHINGLE + 1 - a] = True
-        for i, j in _diagonals(x[a : b + 1], y, order):
+        for i, j in _diagonals(x[a : b + 1], y, places.order, places):
             if covered[i].all():  # text said over and over has many diagonals
                 continue
             known = len(parts)
@@ -359,10 +491,12 @@ def passages(x: np.ndarray, y: np.ndarray, passage: int = PASSAGE, similar: floa
             met[i] = True
             for s, e in _stretches(np.flatnonzero(met), width):
                 inside = (i >= s) & (i <= e)
-                if got := checked(a + s, a + e, int(j[inside].min()), int(j[inside].max())):
+                to = j[inside]
+                lo, hi = int(to.min()), int(to.max())
+                if likely(a + s, a + e, lo, hi) and (got := checked(a + s, a + e, lo, hi)):
                     parts.append(got)
                 elif e - s >= width:
-                    parts += dense(a + s, a + e, i[inside] + a, j[inside])
+                    parts += dense(a + s, a + e, i[inside] + a, to)
             for s, e, *_ in parts[known:]:
                 covered[s - a : e - SHINGLE + 1 - a] = True
         # Of parts that lie within another one, the longer stands.
@@ -374,10 +508,21 @@ def passages(x: np.ndarray, y: np.ndarray, passage: int = PASSAGE, similar: floa
     return out
 
 
+def _once(x: np.ndarray) -> np.ndarray:
+    """Whether each value stands once."""
+    order = np.argsort(x)
+    new = np.append(True, x[order[1:]] != x[order[:-1]])
+    out = np.zeros(len(x), bool)
+    out[order] = new & np.append(new[1:], True)
+    return out
+
+
 def _stretches(found: np.ndarray, width: int) -> list[tuple[int, int]]:
     """First and last of the stretches of at least `width` in ascending positions, with no more than GAP missing at a place."""
-    breaks = np.flatnonzero(np.diff(found) > GAP + 1)
-    ends = zip(found[np.concatenate([[0], breaks + 1])].tolist(), found[np.concatenate([breaks, [len(found) - 1]])].tolist())
+    if not len(found):
+        return []
+    breaks = np.flatnonzero(found[1:] - found[:-1] > GAP + 1)
+    ends = zip([int(found[0]), *found[breaks + 1].tolist()], [*found[breaks].tolist(), int(found[-1])])
     return [(a, b) for a, b in ends if b - a + 1 >= width]
 
 
@@ -385,21 +530,18 @@ def grams(s: np.ndarray, width: int) -> np.ndarray:
     """A hash of every run of `width` shingles."""
     if len(s) < width:
         return np.zeros(0, np.uint64)
-    base = np.uint64(0xA0761D6478BD642F)
-    up, down = _powers(base, len(s) + 1), _powers(np.uint64(pow(int(base), -1, 1 << 64)), len(s) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s * up[: len(s)], dtype=np.uint64)])
-    return mix((sums[width:] - sums[:-width]) * down[: len(s) - width + 1])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s * _powers(_UP, len(s)), dtype=np.uint64)])
+    return mix((sums[width:] - sums[:-width]) * _powers(_DOWN, len(s) - width + 1))
 
 
-def _runs(x: np.ndarray, y: np.ndarray, a: int, b: int, width: int) -> list[tuple[int, int, int]]:
+def _runs(x: np.ndarray, places: _Places, a: int, b: int, width: int) -> list[tuple[int, int, int]]:
     """(first, last, first in y) of runs of shingles in x[a..b] that stand so in y; together they hold every such run of `width`."""
-    g, h = grams(x[a : b + 1], width), grams(y, width)
+    g, (h, order, sorted_) = grams(x[a : b + 1], width), places.runs(width)
     if not len(g) or not len(h):
         return []
-    order = np.argsort(h, kind="stable")
-    at = np.searchsorted(h[order], g)
+    at = np.searchsorted(sorted_, g)
     at[at == len(h)] = 0
-    same = np.flatnonzero(h[order[at]] == g)
+    same = np.flatnonzero(sorted_[at] == g)
     out, upto = [], -1
     for p in same.tolist():
         if p <= upto:
@@ -419,13 +561,11 @@ def _runs(x: np.ndarray, y: np.ndarray, a: int, b: int, width: int) -> list[tupl
 _HITS = 1 << 21
 
 
-def _diagonals(x: np.ndarray, y: np.ndarray, order: np.ndarray):
+def _diagonals(x: np.ndarray, y: np.ndarray, order: np.ndarray, places: _Places | None = None):
     """Positions (i, j) of equal shingles in x and y, a band of diagonals at a time: two GAPs wide, one apart, so that whatever shifts by a
     GAP or less lies in one of them. `order` sorts y. Many hits are found in parts of the diagonals."""
-    ys = y[order]
-    rank = np.cumsum(np.concatenate([[False], ys[1:] != ys[:-1]]))
-    m = len(y) + 1
-    key = rank * m + order
+    places = places or _Places(y)
+    ys, rank, key, m = places.sorted, places.rank, places.key, len(y) + 1
     at = np.searchsorted(ys, x)
     at[at == len(ys)] = 0
     own = np.flatnonzero(ys[at] == x)
@@ -460,11 +600,10 @@ def _passages(df: DataFrame, id_col: str, text_col: str, passage: int, similar:
     """Rows as repeats() returns them, with the hashes of the two texts: (id, h, start, end, first_id, first_h, first_start, ...)."""
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).where("id is not null and text is not null")
-    index = _indexed(docs, kind, passage)
     # What texts of different content have; and whole texts that several rows have, with the least of them.
-    shared = index.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("id").alias("least"), F.max("id").alias("last"), F.min("f").alias("f")).where("if(f < 0, least <> last, a <> b)")
-    shared = materialise(shared.select("key", F.expr("if(f < 0, least, null)").alias("least")), "shared")
-    members = index.join(shared, "key").groupBy("id", "h").agg(F.collect_list(F.expr("if(f < 0, null, struct(f, l, c, r))")).alias("w"), F.max("least").alias("least"), F.max(F.expr("if(f < 0, l, null)")).alias("n_words"))
+    shared = materialise(_shared(docs, kind, passage), "shared")
+    # Of the windows few are shared, so these are looked up by a hash instead of sorting all.
+    members = _indexed(docs, kind, passage).join(shared.hint("shuffle_hash"), "key").groupBy("id", "h").agg(F.collect_list(F.expr("if(f < 0, null, struct(f, l, c, r))")).alias("w"), F.max("least").alias("least"), F.max(F.expr("if(f < 0, l, null)")).alias("n_words"))
     members = materialise(members, "members")
     discard(shared)
     copies = members.where("least <> id")
@@ -539,6 +678,21 @@ def _outermost(found: DataFrame, kind: str) -> DataFrame:
     return found.repartition("id", "h").sortWithinPartitions(*order).select(*_FOUND).mapInArrow(run, _schema(kind))
 
 
+def _different(s: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The number of different values in each s[lo:hi]; s are 32-bit values of texts, n of each, and no slice goes beyond its text."""
+    key = (np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32)) | s
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    before = np.full(len(s), -1)
+    before[order[same + 1]] = order[same]
+    # Few values stand twice so near each other that a slice can hold both.
+    near = np.concatenate([[0], np.cumsum((before >= 0) & (np.arange(len(s)) - before < int((hi - lo).max(initial=0))))])
+    out = hi - lo
+    for k in np.flatnonzero(near[hi] > near[lo]).tolist():
+        out[k] -= np.count_nonzero(before[lo[k] : hi[k]] >= lo[k])
+    return out
+
+
 def _agreeing(looked: DataFrame, large: DataFrame, kind: str, passage: int, similar: float, take: int) -> DataFrame:
     """(key, id, h, first_id, first_h, more) from looked(id, h, text, w), w the seeds (key, pos, wanted) of a text: for each document's wanted
     seed the lesser documents whose surroundings of the seed have enough shingles in common with it, the `take` of each group of blocks that
@@ -555,12 +709,14 @@ def _agreeing(looked: DataFrame, large: DataFrame, kind: str, passage: int, simi
                 first = (np.cumsum(n) - n)[own]
                 pos = flat.field(1).to_numpy() + first
                 lo, hi = np.maximum(pos - width + SEED, first), np.minimum(pos + width, first + n[own])
-                around = [s[a:b].astype(np.uint32).view(np.int32) for a, b in zip(lo.tolist(), hi.tolist())]
-                differ = np.fromiter((len(np.unique(x)) for x in around), np.int64, len(around))
+                s = s.astype(np.uint32)
+                differ, size = _different(s, n, lo, hi), hi - lo
+                offsets = np.concatenate([[0], np.cumsum(size)])
+                around = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(s[np.arange(offsets[-1]) + np.repeat(lo - offsets[:-1], size)].view(np.int32)))
                 # However a passage lies there, so many different shingles it has at least, and this share of them in common.
                 need = np.ceil(2 * similar / (1 + similar) * (differ - (hi - lo - width)) - 1e-9)
                 pick = pa.array(own)
-                yield pa.RecordBatch.from_arrays([flat.field(0), part.column(0).take(pick), part.column(1).take(pick), flat.field(2), pa.array(np.maximum(need, SEED // 2).astype(np.int32)), pa.array(around, pa.list_(pa.int32()))], ["key", "id", "h", "wanted", "need", "around"])
+                yield pa.RecordBatch.from_arrays([flat.field(0), part.column(0).take(pick), part.column(1).take(pick), flat.field(2), pa.array(np.maximum(need, SEED // 2).astype(np.int32)), around], ["key", "id", "h", "wanted", "need", "around"])
 
     around = looked.select("id", "h", "text", "w").mapInArrow(surroundings, f"key long, id {kind}, h long, wanted boolean, need int, around array<int>")
     rows = dealt(around, large, "id", BLOCK).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id", "h")
@@ -575,8 +731,8 @@ def _agreeing(looked: DataFrame, large: DataFrame, kind: str, passage: int, simi
     return rows.select("key", "bi", "bj", "b", "id", "h", "wanted", "need", "around").mapInArrow(compare, f"key long, id {kind}, h long, first_id {kind}, first_h long, more boolean")
 
 
-#: Groups up to this size are compared pair by pair, larger ones by matrix, so many columns at a time.
-_FEW, _COLUMNS = 16, 4096
+#: Groups up to this size are compared pair by pair, larger ones by matrix, so many columns at a time; so many pairs are judged together.
+_FEW, _COLUMNS, _PAIRS = 16, 4096, 4000
 
 
 def _most_alike(table: pa.Table, starts: np.ndarray, take: int, width: int, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -607,27 +763,25 @@ def _most_alike(table: pa.Table, starts: np.ndarray, take: int, width: int, simi
     def alike(here, there):
         """The greatest similarity that runs of lengths up to GAP apart may have, as they meet each other's shingles."""
         best = np.zeros(len(here))
-        for i, n in enumerate(lengths.tolist()):
-            for k in range(max(0, i - GAP // 2), min(len(lengths), i + GAP // 2 + 1)):
-                both = np.minimum(here[:, i], there[:, k]).astype(np.float32)
-                np.maximum(best, both / (n + int(lengths[k]) - both), out=best)
+        here, there = here.astype(np.float32), there.astype(np.float32)
+        for apart in range(-(GAP // 2), GAP // 2 + 1):
+            lo, hi = max(0, -apart), min(len(lengths), len(lengths) - apart)
+            if lo < hi:
+                both = np.minimum(here[:, lo:hi], there[:, lo + apart : hi + apart])
+                np.maximum(best, (both / ((lengths[lo:hi] + lengths[lo + apart : hi + apart]).astype(np.float32) - both)).max(axis=1), out=best)
         return best
 
-    def judged(p, q, forth, back):
-        """Of pairs those that may share a passage, and how similar it may be; forth and back give met() of the pairs asked for."""
-        here = forth(p, q)
+    def judge(p, q, forth, back):
+        """Holds of pairs those that may share a passage, and how similar it may be; forth and back: which shingles are met."""
+        here = met(forth)
         ok = (here >= least).any(axis=1)
-        p, q, here = p[ok], q[ok], here[ok]
-        there = back(p, q)
+        p, q, here, there = p[ok], q[ok], here[ok], met(back[ok])
         ok = (there >= least).any(axis=1)
         p, q, j = p[ok], q[ok], alike(here[ok], there[ok])
         ok = j >= similar - 0.01  # every other length is looked at
-        return p[ok], q[ok], j[ok]
-
-    def hold(x, y, more):
-        xs.append(x)
-        ys.append(y)
-        counts.append(more)
+        xs.append(p[ok])
+        ys.append(q[ok])
+        counts.append(j[ok])
 
     def eligible(x, y):
         return wanted[x] & (doc[x] != doc[y]) & ((b[x] != b[y]) | (bi[x] == bj[x]))
@@ -639,11 +793,8 @@ def _most_alike(table: pa.Table, starts: np.ndarray, take: int, width: int, simi
             p, q = x[k : k + 2000], y[k : k + 2000]
             left, right = (np.where(inside[z], flat[place[z]].astype(np.int64), -(1 << 40) - i) for i, z in enumerate((p, q)))
             same = left[:, :, None] == right[:, None, :]
-            here, there = met(same.any(axis=2)), met(same.any(axis=1))
-            ok = (here >= least).any(axis=1) & (there >= least).any(axis=1)
-            j = alike(here[ok], there[ok])
-            ok, j = np.flatnonzero(ok)[j >= similar - 0.01], j[j >= similar - 0.01]
-            hold(p[ok], q[ok], j)
+            judge(p, q, same.any(axis=2), same.any(axis=1))
+    held: list[tuple[np.ndarray, ...]] = []  # pairs of several groups, judged together
     for g in np.flatnonzero(np.diff(starts) > _FEW):
         s, e = int(starts[g]), int(starts[g + 1])
         if not wanted[s:e].any():
@@ -663,10 +814,14 @@ def _most_alike(table: pa.Table, starts: np.ndarray, take: int, width: int, simi
         ok = eligible(x + s, y + s)
         x, y = x[ok], y[ok]
         columns = np.where(inside[s:e], column[np.minimum(place[s:e] - at[s], len(column) - 1)], 0)
-        for k in range(0, len(x), 20_000):
-            p, q = x[k : k + 20_000], y[k : k + 20_000]
-            p, q, j = judged(p, q, lambda p, q: met(has[q[:, None], columns[p]]), lambda p, q: met(has[p[:, None], columns[q]]))
-            hold(p + s, q + s, j)
+        for k in range(0, len(x), _PAIRS):
+            p, q = x[k : k + _PAIRS], y[k : k + _PAIRS]
+            held.append((p + s, q + s, has[q[:, None], columns[p]], has[p[:, None], columns[q]]))
+            if sum(len(z[0]) for z in held) >= _PAIRS:
+                judge(*(np.concatenate(z) for z in zip(*held)))
+                held = []
+    if held:
+        judge(*(np.concatenate(z) for z in zip(*held)))
     if not xs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     x, y, common = (np.concatenate(z) for z in (xs, ys, counts))
@@ -707,7 +862,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, kind: str, passage: int, simil
                     ends = np.cumsum(n)
                     for i, (x, y, of) in enumerate(zip(np.split(shingles, ends[:-1]), part.column(5).to_pylist(), part.column(3).to_pylist())):
                         if last != (of, len(y)):
-                            last, seen = (of, len(y)), shingle_hashes(*word_hashes([y]))[0]
+                            last, seen = (of, len(y)), _Places(shingle_hashes(*word_hashes([y]))[0])
                         rows += [(i, *p) for p in passages(x, seen, passage, similar)]
                     cols = list(zip(*rows)) if rows else [[]] * 6
                     pick = pa.array(cols[0], pa.int64())

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from framepack.llm import substrings
@@ -184,3 +185,46 @@ def test_few_matches_on_a_diagonal_are_no_passage(monkeypatch):
     monkeypatch.setattr(np, "argsort", lambda *a, **b: sorts.append(len(a[0])) or plain(*a, **b))
     assert substrings.passages(x, y) == []
     assert sum(n < 100 for n in sorts) <= 1
+
+
+def test_counts_tell_what_is_not_similar(monkeypatch):
+    """Stretches that have too little in common by their counts of shingles are not compared as sets."""
+    rng = random.Random(11)
+    y = words(rng, 600)
+    x = [f"e{k}" if k % 12 == 0 else w for k, w in enumerate(y)]
+    made = []
+    monkeypatch.setattr(substrings, "set", lambda *a: made.append(a) or set(*a), raising=False)
+    assert substrings.passages(hashes(x), hashes(y)) == []
+    assert not [a for a in made if a and len(a[0]) > 40]
+
+
+def test_groups_are_judged_together(monkeypatch):
+    """Pairs of several groups are looked at in one go, with the same outcome as group by group; the counts of different values are exact."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for key in range(30):
+        base = rng.integers(0, 1 << 30, 82)
+        for i in range(20):
+            around = np.where(rng.random(82) < 0.04, rng.integers(0, 1 << 30, 82), base)[: rng.integers(46, 83)]
+            rows.append((key, i, around.astype(np.int32)))
+    zero, n = np.zeros(len(rows), np.int32), len(rows)
+    table = pa.table({"key": [r[0] for r in rows], "bi": zero, "bj": zero, "b": zero, "id": [r[1] for r in rows], "h": [r[1] for r in rows], "wanted": [True] * n, "need": np.full(n, 5, np.int32), "around": pa.array([r[2] for r in rows], pa.list_(pa.int32()))})
+    cumsums, plain = [], np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda *a, **b: cumsums.append(np.ndim(a[0])) or plain(*a, **b))
+    got = substrings._most_alike(table, np.arange(0, n + 1, 20), 2, 46, 0.8)
+    assert cumsums.count(2) < 30
+    monkeypatch.setattr(substrings, "_PAIRS", 1)
+    assert all(np.array_equal(a, b) for a, b in zip(got, substrings._most_alike(table, np.arange(0, n + 1, 20), 2, 46, 0.8))) and len(got[0]) > 300
+    s, counts = rng.integers(0, 40, 500).astype(np.uint32), np.array([200, 0, 300])
+    lo, hi = np.array([0, 150, 200, 400]), np.array([60, 200, 290, 500])
+    assert substrings._different(s, counts, lo, hi).tolist() == [len(np.unique(s[a:b])) for a, b in zip(lo, hi)]
+
+
+def test_keys_are_those_of_the_windows():
+    """The first pass over all texts has the signatures of the second, also of short, empty and null texts."""
+    rng = random.Random(13)
+    texts = [" ".join(words(rng, n)) for n in (0, 4, 49, 50, 51, 300)] + [None, " ".join(words(rng, 7) * 20), "ä " * 70]
+    text, key, f, *_ = substrings.signatures(texts)
+    own, windows, long, whole = substrings.keys(texts)
+    assert np.array_equal(text[f >= 0], own) and np.array_equal(key[f >= 0], windows)
+    assert np.array_equal(text[f < 0], long) and np.array_equal(key[f < 0], whole) and len(long) == 5
