@@ -258,18 +258,22 @@ def marks(texts: list[str], owner: np.ndarray, f: np.ndarray, l: np.ndarray, c:
     lo, hi = np.maximum(l, c - width + 1) + at, np.minimum(c, r - width + 1) + at
     count = np.zeros(len(s), np.int8)
     for k in range(FUNCTIONS):
-        step = np.zeros(len(s) + 1, np.int32)
         own = f == k
-        np.add.at(step, lo[own], 1)
-        np.add.at(step, hi[own] + 1, -1)
+        step = np.bincount(lo[own], minlength=len(s) + 1) - np.bincount(hi[own] + 1, minlength=len(s) + 1)
         count += np.cumsum(step)[:-1] > 0
     whole = np.flatnonzero(count == FUNCTIONS)
     some = np.concatenate([[0], np.cumsum(count >= OVERLAP)])
     c = np.unique((c + at)[some[hi + 1] > some[lo]]) if len(c) else c
     if len(c):
         seed = np.unique(np.concatenate([c[c + SEED <= (before + n)[text[c]]], c[c - SEED + 1 >= before[text[c]]] - SEED + 1]))
-        run = np.sort(s[seed[:, None] + np.arange(SEED)], axis=1)
-        seed = seed[1 + (run[:, 1:] != run[:, :-1]).sum(axis=1) >= DIFFERENT]
+        again = np.zeros(len(s), bool)
+        for k in range(1, SEED):
+            again[k:] |= s[k:] == s[:-k]
+        sums, differ = _sums(again), np.full(len(seed), SEED)
+        some = np.flatnonzero(sums[seed + SEED] > sums[seed])  # few stutter
+        run = np.sort(s[seed[some, None] + np.arange(SEED)], axis=1)
+        differ[some] = 1 + (run[:, 1:] != run[:, :-1]).sum(axis=1)
+        seed = seed[differ >= DIFFERENT]
     else:
         seed = c
     key = np.concatenate([grams(s, width)[whole], grams(s, SEED)[seed]])
@@ -375,6 +379,13 @@ class _Places:
         single[self.order] = new & np.append(new[1:], True)[: len(y)]
         self.single = _sums(single)
         self._runs: tuple[np.ndarray, ...] | None = None
+        self._differ: np.ndarray | None = None
+
+    def differ(self, width: int) -> np.ndarray:
+        """The number of different shingles in each run of `width`."""
+        if self._differ is None:
+            self._differ = _differ(self.order, self.sorted, np.ones(len(self.y), bool), width)
+        return self._differ
 
     def runs(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the runs of `width` shingles, their order and themselves in order."""
@@ -385,6 +396,19 @@ class _Places:
         return self._runs
 
 
+def _differ(order: np.ndarray, ordered: np.ndarray, of: np.ndarray, width: int) -> np.ndarray:
+    """The number of different values, where `of` holds, in each run of `width`; `order` sorts the values stably. All equal ones are `of` or none."""
+    n = len(order)
+    before = np.full(n, -1)
+    same = np.flatnonzero(ordered[1:] == ordered[:-1])
+    before[order[same + 1]] = order[same]
+    # A value counts in the runs that begin behind the one before it.
+    own = np.flatnonzero(of)
+    begin, end = np.maximum(before[own], own - width) + 1, own + 1
+    begin = np.maximum(begin, 0)
+    return np.cumsum(np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1))[: n - width + 1]
+
+
 def _sums(x: np.ndarray) -> np.ndarray:
     out = np.zeros(len(x) + 1, np.int64)
     np.cumsum(x, out=out[1:])
@@ -417,7 +441,10 @@ def passages(x: np.ndarray, y: np.ndarray | _Places, passage: int = PASSAGE, sim
     # Most stretches are short, where sets of numbers are faster than sorted arrays.
     here, there = x.tolist(), y.tolist()
     # Shingles up to a place that y has, and those that stand once in their text.
-    hits, ones, singles = _sums(hit), _sums(_once(x)), places.single
+    sorts = np.argsort(x, kind="stable")
+    ordered = x[sorts]
+    hits, ones, singles = _sums(hit), _sums(_once(sorts, ordered)), places.single
+    differ: list[np.ndarray] = []  # where x stutters, the different shingles of each run, all and those that y has
 
     def likely(a, b, lo, hi):
         """Whether x[a..b] may be similar to y[lo..hi], which have no more in common than y's shingles in x, and no fewer different ones than
@@ -442,10 +469,10 @@ def passages(x: np.ndarray, y: np.ndarray | _Places, passage: int = PASSAGE, sim
         sums = _sums(has)
         got, upto = [], -1
         both = sums[width:] - sums[:-width]
-        enough = np.flatnonzero(both >= least)
+        enough = (both >= least).nonzero()[0]
         if not len(enough):
             return []
-        by = np.argsort(i, kind="stable")
+        by = i.argsort(kind="stable")
         at, to = i[by] - a, j[by]
         first = sums[enough] if len(i) == sums[-1] else np.searchsorted(at, enough)
         last = (sums[enough + width] if len(i) == sums[-1] else np.searchsorted(at, enough + width)) - 1
@@ -457,7 +484,14 @@ def passages(x: np.ndarray, y: np.ndarray | _Places, passage: int = PASSAGE, sim
         np.minimum.at(low, at, to)
         np.maximum.at(high, at, to)
         low, high = _slide(low, width, np.minimum)[some], _slide(high, width, np.maximum)[some]
-        for s, lo, hi, ok in zip(some.tolist(), low.tolist(), high.tolist(), likely(some + a, some + a + width - 1, low, high).tolist()):
+        may = likely(some + a, some + a + width - 1, low, high)
+        if ones[-1] < len(x):
+            if not differ:
+                differ.extend(_differ(sorts, ordered, of, width) for of in (np.ones(len(x), bool), hit))
+            u, both = differ[0][some + a], differ[1][some + a]
+            v = np.where(high - low + 1 >= width, places.differ(width)[np.minimum(low, len(y) - width)], singles[high + 1] - singles[low])
+            may &= both >= similar * (u + v - both) - 1e-6
+        for s, lo, hi, ok in zip(some.tolist(), low.tolist(), high.tolist(), may.tolist()):
             if s > upto:
                 if ok and (p := checked(a + s, a + s + width - 1, lo, hi)):
                     got.append(p)
@@ -489,7 +523,7 @@ def passages(x: np.ndarray, y: np.ndarray | _Places, passage: int = PASSAGE, sim
             known = len(parts)
             met = np.zeros(b - a + 1, bool)
             met[i] = True
-            for s, e in _stretches(np.flatnonzero(met), width):
+            for s, e in _stretches(met.nonzero()[0], width):
                 inside = (i >= s) & (i <= e)
                 to = j[inside]
                 lo, hi = int(to.min()), int(to.max())
@@ -508,11 +542,10 @@ def passages(x: np.ndarray, y: np.ndarray | _Places, passage: int = PASSAGE, sim
     return out
 
 
-def _once(x: np.ndarray) -> np.ndarray:
-    """Whether each value stands once."""
-    order = np.argsort(x)
-    new = np.append(True, x[order[1:]] != x[order[:-1]])
-    out = np.zeros(len(x), bool)
+def _once(order: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether each value stands once; `order` sorts the values."""
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    out = np.zeros(len(order), bool)
     out[order] = new & np.append(new[1:], True)
     return out
 
@@ -521,7 +554,7 @@ def _stretches(found: np.ndarray, width: int) -> list[tuple[int, int]]:
     """First and last of the stretches of at least `width` in ascending positions, with no more than GAP missing at a place."""
     if not len(found):
         return []
-    breaks = np.flatnonzero(found[1:] - found[:-1] > GAP + 1)
+    breaks = (found[1:] - found[:-1] > GAP + 1).nonzero()[0]
     ends = zip([int(found[0]), *found[breaks + 1].tolist()], [*found[breaks].tolist(), int(found[-1])])
     return [(a, b) for a, b in ends if b - a + 1 >= width]
 
@@ -566,27 +599,29 @@ def _diagonals(x: np.ndarray, y: np.ndarray, order: np.ndarray, places: _Places
     GAP or less lies in one of them. `order` sorts y. Many hits are found in parts of the diagonals."""
     places = places or _Places(y)
     ys, rank, key, m = places.sorted, places.rank, places.key, len(y) + 1
-    at = np.searchsorted(ys, x)
+    at = ys.searchsorted(x)
     at[at == len(ys)] = 0
-    own = np.flatnonzero(ys[at] == x)
+    own = (ys[at] == x).nonzero()[0]
     base = rank[at[own]] * m
-    total = int((np.searchsorted(ys, x[own], "right") - at[own]).sum())
+    total = int((ys.searchsorted(x[own], "right") - at[own]).sum())
     first, last = -(-len(x) // GAP) * -1, len(y) // GAP
     step = max(1, (last - first + 1) * _HITS // max(total, 1))
     for k in range(first, last + 1, step):
         upto = min(k + step, last + 1)  # and one bin more, for the last band
-        lo = np.searchsorted(key, base + np.clip(own + k * GAP, 0, m - 1))
-        n = np.searchsorted(key, base + np.clip(own + (upto + 1) * GAP, 0, m - 1)) - lo
+        lo = key.searchsorted(base + np.minimum(np.maximum(own + k * GAP, 0), m - 1))
+        n = key.searchsorted(base + np.minimum(np.maximum(own + (upto + 1) * GAP, 0), m - 1)) - lo
         i = np.repeat(own, n)
         if not len(i):
             continue
         j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
         bin_ = (j - i) // GAP - k
-        by = np.argsort(bin_, kind="stable")
+        by = bin_.argsort(kind="stable")
         i, j = i[by], j[by]
-        edge = np.searchsorted(bin_[by], np.arange(upto - k + 2))
-        # A stretch has a hit in every GAP + 1 places.
-        for band in np.flatnonzero(edge[2:] - edge[:-2] >= 4) if upto - k > 0 else []:
+        edge = bin_[by].searchsorted(np.arange(upto - k + 2))
+        # A stretch has a hit in every GAP + 1 places. A band next to one with the same hits is that band over again.
+        many = edge[2:] - edge[:-2] >= 4
+        many[1:] &= (edge[1:-2] > edge[:-3]) | (edge[3:] > edge[2:-1])
+        for band in many.nonzero()[0].tolist():
             yield i[edge[band] : edge[band + 2]], j[edge[band] : edge[band + 2]]
 
 
@@ -752,32 +787,32 @@ def _most_alike(table: pa.Table, starts: np.ndarray, take: int, width: int, simi
     xs, ys, counts = [], [], []
 
     def met(m):
-        """The most shingles met in a run of each of the lengths; m: which shingles are met, for each pair."""
-        sums = np.zeros((len(m), wide + 1), np.int16)
-        np.cumsum(m, axis=1, out=sums[:, 1:])
-        return np.stack([(sums[:, n:] - sums[:, :-n]).max(axis=1) for n in lengths.tolist()], axis=1)
+        """The most shingles met in a run of each of the lengths, a row for each length; m: which shingles are met, a row for each pair."""
+        sums = np.zeros((wide + 1, len(m)), np.int16)
+        np.cumsum(m.T, axis=0, out=sums[1:])
+        return np.stack([(sums[n:] - sums[:-n]).max(axis=0) for n in lengths.tolist()])
 
     # An edit leaves SHINGLE - 1 shingles on either side without a match, so a run of n shingles of a passage has this many at least.
-    least = np.ceil(similar * (lengths + SHINGLE - 1) - 1e-9)
+    least = np.ceil(similar * (lengths + SHINGLE - 1) - 1e-9)[:, None]
 
     def alike(here, there):
         """The greatest similarity that runs of lengths up to GAP apart may have, as they meet each other's shingles."""
-        best = np.zeros(len(here))
+        best = np.zeros(here.shape[1])
         here, there = here.astype(np.float32), there.astype(np.float32)
         for apart in range(-(GAP // 2), GAP // 2 + 1):
             lo, hi = max(0, -apart), min(len(lengths), len(lengths) - apart)
             if lo < hi:
-                both = np.minimum(here[:, lo:hi], there[:, lo + apart : hi + apart])
-                np.maximum(best, (both / ((lengths[lo:hi] + lengths[lo + apart : hi + apart]).astype(np.float32) - both)).max(axis=1), out=best)
+                both = np.minimum(here[lo:hi], there[lo + apart : hi + apart])
+                np.maximum(best, (both / ((lengths[lo:hi] + lengths[lo + apart : hi + apart]).astype(np.float32)[:, None] - both)).max(axis=0), out=best)
         return best
 
     def judge(p, q, forth, back):
         """Holds of pairs those that may share a passage, and how similar it may be; forth and back: which shingles are met."""
         here = met(forth)
-        ok = (here >= least).any(axis=1)
-        p, q, here, there = p[ok], q[ok], here[ok], met(back[ok])
-        ok = (there >= least).any(axis=1)
-        p, q, j = p[ok], q[ok], alike(here[ok], there[ok])
+        ok = (here >= least).any(axis=0)
+        p, q, here, there = p[ok], q[ok], here[:, ok], met(back[ok])
+        ok = (there >= least).any(axis=0)
+        p, q, j = p[ok], q[ok], alike(here[:, ok], there[:, ok])
         ok = j >= similar - 0.01  # every other length is looked at
         xs.append(p[ok])
         ys.append(q[ok])

@@ -228,3 +228,21 @@ def test_keys_are_those_of_the_windows():
     own, windows, long, whole = substrings.keys(texts)
     assert np.array_equal(text[f >= 0], own) and np.array_equal(key[f >= 0], windows)
     assert np.array_equal(text[f < 0], long) and np.array_equal(key[f < 0], whole) and len(long) == 5
+
+
+def test_stuttering_is_told_by_different_shingles(monkeypatch):
+    """Runs of text said over and over are told apart by their different shingles; no band of diagonals comes twice."""
+    rng = random.Random(14)
+    line = words(rng, 30)
+    y = words(rng, 40) + line * 8 + words(rng, 40)
+    x = words(rng, 20) + [w for k in range(8) for w in [*line[:26], f"e{k}", *line[27:]]] + words(rng, 20)
+    s = np.array([hash(w) & 0xFFFF for w in x], dtype=np.uint64)
+    order = np.argsort(s, kind="stable")
+    assert substrings._differ(order, s[order], np.ones(len(s), bool), 46).tolist() == [len(set(s[k : k + 46].tolist())) for k in range(len(s) - 45)]
+    made = []
+    monkeypatch.setattr(substrings, "set", lambda *a: made.append(a) or set(*a), raising=False)
+    got = substrings.passages(hashes(x), hashes(y))
+    assert sum(bool(a) and len(a[0]) == 46 for a in made) < 150 and not got
+    p = hashes(words(rng, 200))
+    bands = [tuple(zip(i.tolist(), j.tolist())) for i, j in substrings._diagonals(p, p, np.argsort(p, kind="stable"))]
+    assert len(bands) == len(set(bands)) == 1
